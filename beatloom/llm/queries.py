@@ -5,9 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatloom.llm import canonical, history, truncation
+from beatloom.llm import canonical, contamination, history, language, spans, tokenizer, truncation
 from beatloom.session import table
 
+# ----------------------------------------------------------------- 2: language
+
+
+def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    beats = table(spark, sf_dir, "beats").select("row_id", "lang", "narration_verbatim")
+    labelled = language.sample(beats, "row_id", "narration_verbatim", "lang")
+    return language.with_segments(beats, "narration_verbatim", labelled)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of the narrations whose label is missing or wrong, or that mix languages."""
+    return language.found_cases(_segmented(spark, sf_dir), "row_id", "lang")
+
+
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every segment of every narration."""
+    rows = _segmented(spark, sf_dir).select("row_id", F.posexplode("segments").alias("segment_pos", "s"))
+    return rows.select("row_id", F.col("segment_pos").cast("bigint").alias("segment_pos"), "s.begin", "s.end", "s.lang", F.round("s.confidence", 6).alias("confidence"))
+
+
 # ------------------------------------------------------------------ 3: history
 
 
@@ -85,7 +105,65 @@ def p7_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.limits(_stored_texts(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_coverage, p6_found, p6_unmatched, p7_found, p7_rates, p7_limits)}
+# ---------------------------------------------------------------- 8: tokenizer
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokenizer.encoded(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, characters and tokens for each label of language."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    counts = p8_ids(spark, sf_dir).select("doc_id", F.size("ids").cast("bigint").alias("n_ids"))
+    return documents.join(counts, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"), F.sum("n_ids").alias("n_ids"))
+
+
+# ------------------------------------------------------------ 9: contamination
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain ten consecutive words of a held-out prompt."""
+    return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many documents each item leaked."""
+    found = contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_windows").alias("most_windows"))
+
+
+def p9_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that repeat a whole prompt with other names and numbers."""
+    return contamination.reparameterised(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+# -------------------------------------------------------------------- 10: spans
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a common span of at least 320 characters."""
+    return spans.shared_pairs(table(spark, sf_dir, "documents"))
+
+
+def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal stretches of each document shared with others."""
+    return spans.shared_spans(table(spark, sf_dir, "documents"))
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document is shared elsewhere."""
+    return spans.shares(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p2_found, p2_segments, p3_found, p3_coverage, p6_found, p6_unmatched, p7_found, p7_rates, p7_limits,
+        p8_ids, p8_lengths, p9_found, p9_items, p9_reparameterised, p10_found, p10_spans, p10_shares,
+    )
+}
 
 _ITEMS = r"""
 addresses AS (
