@@ -55,7 +55,7 @@ def label_value(response: Column, label: str) -> Column:
 
 def catalogued(responses: DataFrame, response: str, path: str, source: str) -> DataFrame:
     """Catalog fields from a labelled response: lists by comma, blank items dropped, quality medium by default."""
-    listed = lambda label: F.filter(F.transform(F.split(label_value(F.col(response), label), ","), F.trim), lambda x: x != "")
+    listed = lambda label: F.filter(F.transform(F.split(label_value(F.col(response), label), ","), lambda x: F.trim(x)), lambda x: x != "")
     prefix = F.when(F.col(source) == "pexels", "PEX").when(F.col(source) == "wikimedia", "WIK").when(F.col(source) == "youtube", "YT").when(F.col(source) == "local", "LOC").otherwise("UNK")
     return responses.withColumns(
         {

@@ -32,16 +32,23 @@ def _lowered(values: Column) -> Column:
     return F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), F.lower), lambda v: v != "")
 
 
-def _substrings(c: Column) -> Column:
+def _pieces(c: Column, lengths: Column) -> Column:
+    """The substrings of a value that have one of the given lengths."""
     n = F.length(c)
-    return F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(c, i, k))))
+    fitting = F.filter(lengths, lambda k: k <= n)
+    return F.array_distinct(F.flatten(F.transform(fitting, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(c, i, k)))))
 
 
 def containing_pairs(requested: DataFrame, held: DataFrame) -> DataFrame:
-    """``req, held, exact`` for each two distinct values of which one contains the other."""
+    """``req, held, exact`` for each two distinct values of which one contains the other.
+
+    Only substrings of lengths that the other side has are formed; the lengths
+    come as one row.
+    """
     r, h = requested.select("req").where("req <> ''").distinct(), held.select("held").where("held <> ''").distinct()
-    inside = h.select("held", F.explode(F.array_distinct(_substrings(F.col("held")))).alias("req")).join(r, "req").select("req", "held")
-    around = r.select("req", F.explode(F.array_distinct(_substrings(F.col("req")))).alias("held")).join(h, "held").select("req", "held")
+    sizes = lambda df, c: F.broadcast(df.agg(F.sort_array(F.collect_set(F.length(c))).alias("sizes")))
+    inside = h.join(sizes(r, "req"), F.lit(True)).select("held", F.explode(_pieces(F.col("held"), F.col("sizes"))).alias("req")).join(r, "req").select("req", "held")
+    around = r.join(sizes(h, "held"), F.lit(True)).select("req", F.explode(_pieces(F.col("req"), F.col("sizes"))).alias("held")).join(h, "held").select("req", "held")
     return inside.unionByName(around).distinct().withColumn("exact", F.col("req") == F.col("held"))
 
 

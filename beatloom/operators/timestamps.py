@@ -206,11 +206,15 @@ def normalised(df: DataFrame, value: str = "created_at", zone: str = "capture_tz
     """Adds ``out``, the microseconds since 1970-01-01 UTC, and ``<out>_kind``.
 
     The kind is ``offset`` (written), ``local``, ``ambiguous`` or ``nonexistent``
-    (resolved with a zone), or ``unreadable`` with a null ``out``.
+    (resolved with a zone), or ``unreadable`` with a null ``out``. Columns of
+    these names are replaced, all others pass through whatever their names.
     """
-    named = F.regexp_extract(F.col(f"`{value}`"), r"\[([A-Za-z0-9_+/-]+)\]\s*$", 1)
-    spans = zone_intervals(df.select(F.explode(F.array(_record_zone(zone), named)).alias("_zone")))
-    rows = parsed(df, value, zone)
+    outs = (out, f"{out}_kind")
+    kept = [c for c in df.columns if c not in outs]
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(None).alias("none")]).alias("_row"), F.col(f"`{value}`").alias("_value"), F.col(f"`{zone}`").alias("_capture"))
+    named = F.regexp_extract("_value", r"\[([A-Za-z0-9_+/-]+)\]\s*$", 1)
+    spans = zone_intervals(packed.select(F.explode(F.array(_record_zone("_capture"), named)).alias("_zone")))
+    rows = parsed(packed, "_value", "_capture")
     rows = rows.withColumn("_zone", F.when(F.col("_offset_us").isNull() & F.col("_local_us").isNotNull(), F.col("_zone")))
     rows = rows.withColumn("_year", F.when(F.col("_zone").isNotNull(), F.year(F.timestamp_micros("_local_us"))))
     joined = rows.join(F.broadcast(spans), ["_zone", "_year"], "left")
@@ -226,4 +230,4 @@ def normalised(df: DataFrame, value: str = "created_at", zone: str = "capture_tz
         .when(F.size(hits) == 1, "local")
         .otherwise("nonexistent")
     )
-    return joined.withColumns({out: local - F.coalesce(F.col("_offset_us"), offset), f"{out}_kind": kind}).drop("_zone", "_year", "_spans", "_local_us", "_offset_us")
+    return joined.select(*[F.col("_row")[c].alias(c) for c in kept], (local - F.coalesce(F.col("_offset_us"), offset)).alias(outs[0]), kind.alias(outs[1]))

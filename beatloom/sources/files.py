@@ -11,19 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ENTRY = T.StructType.fromDDL(
-    "id string, type string, file string, file_path string, source_type string, source_url string, topic string, entities array<string>, actions array<string>, environment array<string>, "
-    "description string, quality string, duration double, width int, height int, license string, strictness string, times_used int, created_at string, cataloged_by string"
-)
-JOB = T.StructType.fromDDL(
-    "id string, script string, audio string, clue string, niche string, title string, status string, progress double, error string, output string, started_at string, finished_at string, format_variant string"
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+_TEXT, _TEXTS, _NUMBER, _WHOLE = T.StringType(), T.ArrayType(T.StringType()), T.DoubleType(), T.IntegerType()
+
+ENTRY = _struct(
+    id=_TEXT, type=_TEXT, file=_TEXT, file_path=_TEXT, source_type=_TEXT, source_url=_TEXT, topic=_TEXT, entities=_TEXTS, actions=_TEXTS, environment=_TEXTS, description=_TEXT, quality=_TEXT,
+    duration=_NUMBER, width=_WHOLE, height=_WHOLE, license=_TEXT, strictness=_TEXT, times_used=_WHOLE, created_at=_TEXT, cataloged_by=_TEXT,
+)
+JOB = _struct(
+    id=_TEXT, script=_TEXT, audio=_TEXT, clue=_TEXT, niche=_TEXT, title=_TEXT, status=_TEXT, progress=_NUMBER, error=_TEXT, output=_TEXT, started_at=_TEXT, finished_at=_TEXT, format_variant=_TEXT
 )
 
 
 def library(spark: SparkSession, path: str) -> DataFrame:
     """Entries of library documents (``entries`` by id); the path of a hit is ``file_path`` or ``file``."""
     schema = T.StructType([T.StructField("entries", T.MapType(T.StringType(), ENTRY))])
-    if not list(Path().glob(path)) and not Path(path).exists():
+    if not Path(path).exists():
         return spark.createDataFrame([], ENTRY)
     rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("entries").alias("key", "e"))
     entry = rows.select("key", "e.*").withColumn("id", F.coalesce("id", "key")).drop("key")
