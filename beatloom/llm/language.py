@@ -214,9 +214,10 @@ _MODELS: dict[str, Model] = {}
 
 
 def with_segments(df: DataFrame, text: str, labelled: list[tuple[str, str]], vocabulary: str = VOCABULARY, out: str = "segments") -> DataFrame:
-    """Adds ``out``, the language segments of a text with their confidence."""
+    """Adds ``out``, the language segments of a text with their confidence; a column of that name is replaced."""
     pieces = read_pieces(vocabulary)
     logs = fit(labelled, pieces).astype(np.float32)
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c != out])
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast((pieces, logs))
     name = uuid.uuid4().hex

@@ -31,8 +31,8 @@ LIMIT_LEAST, LIMIT_TIMES = 12, 8.0
 NEIGHBOURS = 12
 #: An ellipsis so far below a limit still came from cutting at it (white space is stripped before it is put on).
 SLACK = 10
-#: Part of a list's items by which a text that starts in lower case counts as a list of phrases.
-MAX_ITEM_WORDS = 4
+#: A text of phrases of so few words between commas is a list if it starts in lower case or has so many of them.
+MAX_ITEM_WORDS, LIST_ITEMS = 4, 4
 
 _STOP = "[.!?。！？।؟]"
 _CLOSE = "[\"”»’')\\]]*"
@@ -66,7 +66,7 @@ def texts(df: DataFrame, table: str, key: str, source: str, text: str) -> DataFr
     ellipsis = F.col("body").rlike(_ELLIPSIS)
     rows = rows.withColumns({"ellipsis": ellipsis, "whole": ~ellipsis & F.col("body").rlike(_WHOLE), "core": F.when(ellipsis, bare).otherwise(F.col("body"))})
     commas = F.split("core", r",\s+|,$")
-    listed = F.col("core").rlike(r"^\p{Ll}") & ~F.col("core").rlike(rf"{_STOP}\s") & ~F.exists(commas, lambda x: F.size(F.split(x, r"\s+")) > MAX_ITEM_WORDS)
+    listed = (F.col("core").rlike(r"^\p{Ll}") | (F.size(commas) >= LIST_ITEMS)) & ~F.col("core").rlike(rf"{_STOP}\s") & ~F.exists(commas, lambda x: F.size(F.split(x, r"\s+")) > MAX_ITEM_WORDS)
     title = F.col("core").rlike(_TITLE) & F.col("core").rlike(rf"{_SEPARATORS}|^[^\p{{Ll}}]+$") & ~F.col("core").rlike(rf"\p{{Ll}}{_STOP}\s+\p{{Lu}}")
     rows = rows.withColumn("shape", F.when(F.col("whole"), "whole").when(listed, "list").when(title, "title").otherwise("sentence"))
     pieces = F.when(F.col("shape") == "list", F.split("core", r",\s+")).when(F.col("shape") == "title", F.split("core", _SEPARATORS))
