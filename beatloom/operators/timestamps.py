@@ -81,13 +81,13 @@ def _days(y: Column, m: Column, d: Column) -> Column:
 
 
 def _parts(value: Column) -> Column:
-    """The parts of the first notation that fits, joined by ``|``."""
-    found: Column | None = None
+    """The parts of the first notation that fits, joined by ``|``; the value itself if none does.
+
+    The patterns are anchored and match no ``|``, so a rewritten value meets no later one.
+    """
     for pattern, at in NOTATIONS:
-        hit = value.rlike(pattern)
-        parts = F.regexp_replace(value, pattern, "|".join(f"${g}" if g else "" for g in at))
-        found = F.when(hit, parts) if found is None else found.when(hit, parts)
-    return found
+        value = F.regexp_replace(value, pattern, "|".join(f"${g}" if g else "" for g in at))
+    return value
 
 
 def _offset_us(zone: Column) -> Column:
@@ -106,7 +106,8 @@ def parsed(df: DataFrame, value: str, zone: str) -> DataFrame:
     """
     part = lambda i: F.get("_parts", F.lit(i))
     rows = df.withColumn("_text", F.regexp_replace(F.col(f"`{value}`"), r"^[\s\x{A0}\x{FEFF}]+|[\s\x{A0}\x{FEFF}]+$", ""))
-    rows = rows.withColumn("_parts", F.split(_parts(F.col("_text")), r"\|", -1))
+    rows = rows.withColumn("_parts", F.split(_parts(F.when(~F.contains("_text", F.lit("|")), F.col("_text"))), r"\|", -1))
+    rows = rows.withColumn("_parts", F.when(F.size("_parts") == 10, F.col("_parts")))
     names = F.array(*map(F.lit, MONTHS))
     rows = rows.withColumns(
         {
