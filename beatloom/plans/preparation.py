@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beatloom.operators import intervals, nested, timestamps
+from beatloom.plans.preparation_sql import ORACLES  # noqa: F401 - part of the module's registry
 from beatloom.session import table
 
 
@@ -26,19 +27,24 @@ def p1_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.periods(_interval_rows(spark, sf_dir))
 
 
-def _timestamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _created(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("rec_id", "created_at", "capture_tz")
-    return timestamps.normalised(table(spark, sf_dir, "scraped_assets").select(*columns).unionByName(table(spark, sf_dir, "clip_entries").select(*columns)))
+    return table(spark, sf_dir, "scraped_assets").select(*columns).unionByName(table(spark, sf_dir, "clip_entries").select(*columns))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The instant of every readable ``created_at`` that is not written in the canonical form."""
-    return _timestamped(spark, sf_dir).where(F.col("utc_us").isNotNull() & ~F.col("created_at").rlike(timestamps.CANONICAL)).select("rec_id", "utc_us")
+    """The instant of every readable ``created_at`` that is not written in the canonical form.
+
+    The rows are chosen by kind: a test of ``utc_us`` would be pushed below the
+    join and drag the whole parsing with it.
+    """
+    rows = timestamps.normalised(_created(spark, sf_dir).where(~F.col("created_at").rlike(timestamps.CANONICAL)))
+    return rows.where(F.col("utc_us_kind") != "unreadable").select("rec_id", "utc_us")
 
 
 def p4_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the values of each recording zone were resolved."""
-    return _timestamped(spark, sf_dir).groupBy("capture_tz", F.col("utc_us_kind").alias("kind")).agg(F.count(F.lit(1)).alias("n_records"))
+    return timestamps.normalised(_created(spark, sf_dir)).groupBy("capture_tz", F.col("utc_us_kind").alias("kind")).agg(F.count(F.lit(1)).alias("n_records"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,20 +63,3 @@ def p5_visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p4_found, p4_kinds, p5_found, p5_beats, p5_visuals)}
-
-_ROWS = """
-rows AS (
-  SELECT 'beats' AS src_table, script_id AS owner_id, CAST(round(start_time * 1000) AS BIGINT) AS lo, CAST(round(end_time * 1000) AS BIGINT) AS hi FROM beats
-  UNION ALL
-  SELECT 'timeline_items', job_id, CAST(round(start_time * 1000) AS BIGINT), CAST(round((start_time + duration) * 1000) AS BIGINT) FROM timeline_items
-), marked AS (
-  SELECT *, max(hi) OVER (PARTITION BY src_table, owner_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
-  FROM rows WHERE hi > lo AND owner_id IS NOT NULL
-)"""
-
-ORACLES = {
-    "p1_found": f"WITH {_ROWS} SELECT src_table, owner_id, reach AS gap_start_ms, lo AS gap_end_ms FROM marked WHERE lo > reach",
-    "p1_periods": f"""WITH {_ROWS}, islands AS (
-  SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (PARTITION BY src_table, owner_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM marked
-) SELECT src_table, owner_id, min(lo) AS period_start_ms, max(hi) AS period_end_ms FROM islands GROUP BY src_table, owner_id, island""",
-}
