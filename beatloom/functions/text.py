@@ -78,21 +78,38 @@ def entities(text: Column) -> Column:
     return F.slice(F.array_distinct(F.concat(F.slice(capitalised_runs(text), 1, 5), known)), 1, 8)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _among(marks: tuple[str, ...]):
     return lambda w: w.isin(*marks)
 
 
+def _latin(tokens: Column) -> Column:
+    """Language of Latin words by the share of its marker words."""
+    counts = F.struct(F.size(tokens).alias("n"), *[F.size(F.filter(tokens, _among(marks))).alias(lang) for lang, marks in MARKERS.items()])
+
+    def decide(c: Column) -> Column:
+        best = F.greatest(*[c[lang] for lang in MARKERS])
+        return reduce(lambda acc, lang: acc.when(c[lang] == best, lang), MARKERS, F.when(best * 50 <= c["n"], "en"))
+
+    return let(counts, decide)
+
+
 def language(text: Column) -> Column:
     """Language by script share, then by Latin marker words; English if nothing decides."""
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
     tokens = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: w.rlike("^[a-zA-ZÀ-ÿ]+$"))
-    hits = {lang: F.size(F.filter(tokens, _among(marks))) for lang, marks in MARKERS.items()}
-    best = F.greatest(*hits.values())
-    latin = reduce(lambda acc, lang: acc.when(hits[lang] == best, lang), hits, F.when(best * 50 <= F.size(tokens), "en"))
-    out = F.when(text.isNull() | (F.length(stripped(text)) < 10), "en")
-    for lang, block in SCRIPTS.items():
-        out = out.when((letters > 0) & (F.regexp_count(text, F.lit(block)) * 10 > letters), lang)
-    return out.otherwise(latin)
+
+    def by_script(letters: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for lang, block in SCRIPTS.items():
+            out = out.when((letters > 0) & (F.regexp_count(text, F.lit(block)) * 10 > letters), lang)
+        return out
+
+    short = text.isNull() | (F.length(stripped(text)) < 10)
+    return F.when(short, "en").otherwise(F.coalesce(let(F.regexp_count(text, F.lit(r"\p{L}")), by_script), let(tokens, _latin)))
 
 
 def topic(text: Column) -> Column:
