@@ -47,7 +47,7 @@ NAMES = {
 NO_LABEL = ("", "und", "auto", "unknown", "none", "null", "n/a", "mul", "zxx")
 
 #: Labelled rows of each language that the model is fitted on, at most. A bound of the fit only; scoring covers all rows.
-SAMPLE_ROWS = 800
+SAMPLE_ROWS = 500
 #: Rounds of expectation maximisation, and the count added to every piece.
 ROUNDS, PRIOR = 3, 0.02
 #: Where the public byte-level vocabulary lies.
@@ -55,10 +55,11 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 SEGMENTS = "array<struct<begin:int,end:int,lang:string,confidence:double>>"
 
-_SPLIT = regex.compile(r"(?<=[.!?؟।])[\"'”»’)\]]*\s+|(?<=[。！？])[」』”’)]*\s*|\n+")
+_SPLIT = regex.compile(r"[.!?؟।][\"'”»’)\]]*\s+|[。！？][」』”’)]*\s*|\n+")
 _WORD = regex.compile(r"[\p{Script=Latin}\p{M}'’]*\p{Script=Latin}[\p{Script=Latin}\p{M}\p{N}_-]*|\p{Script=Cyrillic}[\p{Script=Cyrillic}\p{M}]*|\p{Script=Arabic}[\p{Script=Arabic}\p{M}]*|\p{Script=Devanagari}[\p{Script=Devanagari}\p{M}]*|\p{Script=Hangul}+|\p{Script=Han}+|[\p{Script=Hiragana}\p{Script=Katakana}ー]+|\p{L}+")
-_LATIN = regex.compile(r"\p{Script=Latin}")
-_OTHER = regex.compile(r"[^\P{L}\p{Script=Latin}]")
+_PLAIN_WORD = regex.compile(r"(?<![\w'-])'?[a-z][a-z'-]*(?![A-Za-z0-9_])")
+_LATIN = regex.compile(r"\p{Script=Latin}+")
+_OTHER = regex.compile(r"[^\P{L}\p{Script=Latin}]+")
 _DIGIT = regex.compile(r"\p{N}")
 
 
@@ -93,11 +94,12 @@ def words(sentence: str) -> list[str]:
     Capitalised Latin words do not count: they may be names, also where they
     open a sentence.
     """
-    others, latins = len(_OTHER.findall(sentence)), len(_LATIN.findall(sentence))
-    foreign = others * 3 >= latins and others > 0
+    if sentence.isascii():
+        return _PLAIN_WORD.findall(sentence)
+    others = sum(map(len, _OTHER.findall(sentence)))
+    foreign = others > 0 and others * 3 >= sum(map(len, _LATIN.findall(sentence)))
     out = []
-    for m in _WORD.finditer(sentence):
-        w = m.group()
+    for w in _WORD.findall(sentence):
         if _LATIN.search(w) and (foreign or w[0].isupper() or _DIGIT.search(w)):
             continue
         out.append(w.lower())
@@ -112,6 +114,7 @@ class Model:
         self.longest = max(map(len, pieces))
         self.probabilities = np.exp(logs)
         self.cache: dict[str, np.ndarray] = {}
+        self.judged: dict[tuple[str, ...], tuple[str, float]] = {}
 
     def _spans(self, data: bytes) -> list[list[tuple[int, int]]]:
         """For each end, the (begin, piece) of the pieces that end there."""
@@ -137,12 +140,18 @@ class Model:
 
     def judge(self, sentence: str) -> tuple[str, float] | None:
         """Language and confidence of a sentence, None if it has no words."""
-        counted = words(sentence)
+        counted = tuple(words(sentence))
         if not counted:
             return None
+        if (known := self.judged.get(counted)) is not None:
+            return known
         score = sum(map(self.log_probability, counted))
         best = int(score.argmax())
-        return LANGUAGES[best], float(1.0 / np.exp(np.clip(score - score[best], -700, 0)).sum())
+        out = LANGUAGES[best], float(1.0 / np.exp(np.clip(score - score[best], -700, 0)).sum())
+        if len(self.judged) > 100_000:
+            self.judged.clear()
+        self.judged[counted] = out
+        return out
 
     def segments(self, text: str | None) -> list[dict]:
         """Maximal runs of sentences of one language."""
