@@ -108,9 +108,9 @@ SITES = (
     ("tubethumb", r"(?:^|\.)tubethumb\.example$", "query", r"(?:^|&)v=([^&]+)"),
     ("tubethumb", r"(?:^|\.)tubethumb\.example$", "path", r"/(?:embed|vi|v|shorts|live)/([^/]+)"),
     ("tubethumb", r"(?:^|\.)tbth\.example$", "path", r"^/([^/]+)"),
-    ("openarchive", r"(?:^|\.)openarchive\.example$", "query", r"(?:^|&)title=[Ff]ile:([^&]+)"),
-    ("openarchive", r"(?:^|\.)openarchive\.example$", "path", r"/[Ff]ile:([^/]+)"),
     ("openarchive", r"^upload\.openarchive\.example$", "path", r"^/(?:thumb/)?[^/]+/[^/]+/([^/]+)"),
+    ("openarchive", r"(?:^|\.)openarchive\.example$", "path", r"/[Ff]ile:([^/]+)"),
+    ("openarchive", r"(?:^|\.)openarchive\.example$", "query", r"(?:^|&)title=[Ff]ile:([^&]+)"),
 )
 
 
@@ -118,26 +118,40 @@ def _decoded(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
 
 
-def address_key(address: Column, sites: tuple = SITES) -> Column:
-    """The item that an address leads to, whatever its spelling; null for none.
+def with_address_key(df: DataFrame, address: str, out: str, sites: tuple = SITES) -> DataFrame:
+    """Adds ``out``, the item that an address leads to, whatever its spelling; null for none.
 
     Addresses of the known sites give the site's own item key, which their
     pages, files, mirrors, short, mobile and sized forms share. Any other
     address is folded: scheme, ``www``/``m``/``amp`` prefixes, port, doubled
     slashes, closing slash, fragment and tracking parameters do not count.
+
+    Host, path and query are projected first, so that they are taken apart once
+    for all rules; only rules of the address's own host are tried.
     """
-    bare = F.regexp_replace(F.regexp_replace(address, r"^[\s\x{A0}]+|[\s\x{A0}]+$", ""), r"#.*$", "")
-    bare = F.regexp_replace(bare, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^([^/?]*)", 1)), r"^[^@]*@|:\d+$|\.$", "")
-    path = F.regexp_replace(_decoded(F.regexp_extract(bare, r"^[^/?]*([^?]*)", 1)), r"/+", "/")
-    query = _decoded(F.regexp_extract(bare, r"\?(.*)$", 1))
-    found = []
-    for site, at_host, where, pattern in sites:
-        key = F.nullif(F.regexp_extract(path if where == "path" else query, pattern, 1), F.lit(""))
-        name = F.regexp_replace(key, " ", "_") if site == "openarchive" else key
-        if site == "openarchive":
-            name = F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1_000_000))
-        found.append(F.when(host.rlike(at_host), F.concat(F.lit(f"{site}:"), name)))
+    rows = df.withColumn("__bare", F.regexp_replace(F.regexp_replace(F.col(f"`{address}`"), r"^[\s\x{A0}]*(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//)?|#.*$", ""), r"[\s\x{A0}]+$", ""))
+    rows = rows.withColumns(
+        {
+            "__host": F.regexp_replace(F.lower(F.regexp_extract("__bare", r"^([^/?]*)", 1)), r"^[^@]*@|:\d+$|\.$", ""),
+            "__path": F.regexp_replace(_decoded(F.regexp_extract("__bare", r"^[^/?]*([^?]*)", 1)), r"/+", "/"),
+            "__query": _decoded(F.regexp_extract("__bare", r"\?(.*)$", 1)),
+        }
+    ).drop("__bare")
+    host, path, query = F.col("__host"), F.col("__path"), F.col("__query")
+    found = None
+    for at_host in dict.fromkeys(h for _, h, _, _ in sites):
+        keys = []
+        for site, own_host, where, pattern in sites:
+            if own_host != at_host:
+                continue
+            key = F.nullif(F.regexp_extract(path if where == "path" else query, pattern, 1), F.lit(""))
+            if site == "openarchive":
+                key = F.replace(key, F.lit(" "), F.lit("_"))
+                key = F.concat(F.upper(F.substring(key, 1, 1)), F.substring(key, 2, 1_000_000))
+            keys.append(F.concat(F.lit(f"{site}:"), key))
+        fits = host.rlike(at_host)
+        found = F.when(fits, F.coalesce(*keys)) if found is None else found.when(fits, F.coalesce(*keys))
     kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike(rf"^(?:{TRACKING})(?:=|$)"))), "&")
     plain = F.concat(F.regexp_replace(host, r"^(?:www|m|amp|mobile)\.", ""), F.regexp_replace(path, r"/$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
-    return F.when((bare != "") & (host != ""), F.coalesce(*found, plain))
+    rows = rows.withColumn("__item", found) if found is not None else rows.withColumn("__item", F.lit(None).cast("string"))
+    return rows.withColumn(out, F.when(host != "", F.coalesce("__item", plain))).drop("__host", "__path", "__query", "__item")

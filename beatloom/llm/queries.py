@@ -32,8 +32,10 @@ def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _address_parts(df: DataFrame, *columns: str) -> DataFrame:
-    keys = [history.address_key(F.col(c)) for c in columns]
-    return history.signatures(df, "rec_id", F.array(*keys))
+    rows = df.select("rec_id", *columns)
+    for c in columns:
+        rows = history.with_address_key(rows, c, f"{c}_key")
+    return history.signatures(rows, "rec_id", F.array(*[F.col(f"{c}_key") for c in columns]))
 
 
 def _batches_checked(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ GROUPS = [
 
 def keys(spark, urls):
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string")
-    return [r["k"] for r in df.orderBy("i").select(H.address_key(F.col("u")).alias("k")).collect()]
+    return [r["k"] for r in H.with_address_key(df, "u", "k").orderBy("i").select("k").collect()]
 
 
 def test_addresses(spark):
