@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from beatloom.session import fresh_path
 
 #: Length of a shared span, and of the windows hashed for finding it.
-SPAN, WINDOW = 320, 288
+SPAN, WINDOW = 320, 256
 #: Code points hashed at a time; a bound of memory only.
 SLAB = 1 << 20
 
@@ -137,58 +137,69 @@ def common_spans(a: str, b: str) -> tuple[list[list[int]], list[list[int]]]:
     return merged(in_x), merged(in_y)
 
 
+#: The two halves of a text's digest: the class of all texts equal to it.
+CLASS = ["c1", "c2"]
+
+
 def classes(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """``doc_id, class, text`` of the documents long enough to share a span; equal texts have one class."""
+    """``doc_id, c1, c2, text`` of the documents long enough to share a span; equal texts have one class."""
     rows = documents.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.length("text") >= SPAN)
-    return rows.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("class"), "text")
+    rows = rows.withColumn("digest", F.md5(F.col("text").cast("binary")))
+    half = lambda at: F.conv(F.substring("digest", at, 16), 16, -10).cast("bigint")
+    return rows.select("doc_id", half(1).alias("c1"), half(17).alias("c2"), "text")
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owners, texts = batch.column(0), batch.column(1).to_pylist()
-            hashes, place = fingerprints(texts)
-            yield pa.RecordBatch.from_arrays([owners.take(pa.array(place)), pa.array(hashes.view(np.int64))], names=["class", "h"])
+            hashes, place = fingerprints(batch.column(2).to_pylist())
+            at = pa.array(place)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(hashes.view(np.int64))], names=[*CLASS, "h"])
+
+    return rows.select(*CLASS, "text").mapInArrow(scan, "c1 bigint, c2 bigint, h bigint")
+
 
-    return rows.select("class", "text").mapInArrow(scan, "class binary, h bigint")
+def _side(df: DataFrame, name: str, *more: str) -> DataFrame:
+    """Class columns renamed for one side of a pair."""
+    return df.select(F.col("c1").alias(f"{name}1"), F.col("c2").alias(f"{name}2"), *more)
 
 
 def class_pairs(rows: DataFrame) -> DataFrame:
-    """``a, b, spans_a, spans_b`` of every two classes with a common span."""
+    """``a1, a2, b1, b2, spans_a, spans_b`` of every two classes with a common span."""
     spark = rows.sparkSession
     path = fresh_path(spark, "fingerprints")
     _hashed(rows).write.parquet(path)
     kept = spark.read.parquet(path)
-    repeated = kept.groupBy("h").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("h")
+    several = (F.min("c1") != F.max("c1")) | (F.min("c2") != F.max("c2"))
+    repeated = kept.groupBy("h").agg(several.alias("several")).where("several").select("h")
     members = kept.join(repeated, "h").distinct()
-    left = members.select("h", F.col("class").alias("a"))
-    right = members.select("h", F.col("class").alias("b"))
-    pairs = left.join(right, "h").where("a < b").select("a", "b").distinct()
+    pairs = _side(members, "a", "h").join(_side(members, "b", "h"), "h").where("a1 < b1 or (a1 = b1 and a2 < b2)").select("a1", "a2", "b1", "b2").distinct()
     pairs_path = fresh_path(spark, "span-candidates")
     pairs.write.parquet(pairs_path)
     pairs = spark.read.parquet(pairs_path)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    firsts = rows.join(wanted, "class", "left_semi").groupBy("class").agg(F.min_by("text", "doc_id").alias("text"))
-    with_a = pairs.join(firsts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
-    with_both = with_a.join(firsts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    wanted = pairs.select(F.explode(F.array(F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")))).alias("c")).select("c.*").distinct()
+    firsts = rows.join(wanted, CLASS, "left_semi").groupBy(*CLASS).agg(F.min_by("text", "doc_id").alias("text"))
+    both = pairs.join(_side(firsts, "a", F.col("text").alias("text_a")), ["a1", "a2"]).join(_side(firsts, "b", F.col("text").alias("text_b")), ["b1", "b2"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = pa.list_(pa.list_(pa.int64()))
         for batch in batches:
-            found = [common_spans(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], spans), pa.array([f[1] for f in found], spans)], names=["a", "b", "spans_a", "spans_b"])
+            found = [common_spans(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([f[0] for f in found], spans), pa.array([f[1] for f in found], spans)], names=["a1", "a2", "b1", "b2", "spans_a", "spans_b"])
 
-    return with_both.mapInArrow(verify, "a binary, b binary, spans_a array<array<bigint>>, spans_b array<array<bigint>>").where("size(spans_a) > 0")
+    kinds = "a1 bigint, a2 bigint, b1 bigint, b2 bigint, spans_a array<array<bigint>>, spans_b array<array<bigint>>"
+    return both.select("a1", "a2", "b1", "b2", "text_a", "text_b").mapInArrow(verify, kinds).where("size(spans_a) > 0")
 
 
 def shared_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id_a, doc_id_b``: documents with a common span, smaller id first."""
     rows = classes(documents, key, text)
-    members = rows.select("doc_id", "class")
-    one, other = members.select(F.col("class").alias("a"), F.col("doc_id").alias("x")), members.select(F.col("class").alias("b"), F.col("doc_id").alias("y"))
-    across = class_pairs(rows).select("a", "b").join(one, "a").join(other, "b").select("x", "y")
-    copies = members.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("class").alias("a"))
-    within = one.join(copies, "a").join(other, F.col("a") == F.col("b")).where("x < y").select("x", "y")
+    members = rows.select("doc_id", *CLASS)
+    one, other = _side(members, "a", F.col("doc_id").alias("x")), _side(members, "b", F.col("doc_id").alias("y"))
+    across = class_pairs(rows).select("a1", "a2", "b1", "b2").join(one, ["a1", "a2"]).join(other, ["b1", "b2"]).select("x", "y")
+    copied = members.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = members.join(copied.select(*CLASS), CLASS)
+    within = copies.select(*CLASS, F.col("doc_id").alias("x")).join(copies.select(*CLASS, F.col("doc_id").alias("y")), CLASS).where("x < y").select("x", "y")
     both = across.unionByName(within)
     return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).where("doc_id_a < doc_id_b").distinct()
 
@@ -196,17 +207,17 @@ def shared_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text")
 def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, span_start, span_end``: maximal stretches of each document shared with others."""
     rows = classes(documents, key, text)
-    members = rows.select("doc_id", "class", F.length("text").cast("bigint").alias("n_chars"))
+    members = rows.select("doc_id", *CLASS, F.length("text").cast("bigint").alias("n_chars"))
     pairs = class_pairs(rows)
-    sides = [pairs.select(F.col(c).alias("class"), F.explode(f"spans_{c}").alias("s")) for c in ("a", "b")]
-    own = sides[0].unionByName(sides[1]).select("class", F.col("s")[0].alias("lo"), F.col("s")[1].alias("hi"))
-    whole = members.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("hi")).where("n > 1").select("class", F.lit(0).cast("bigint").alias("lo"), "hi")
-    found = own.unionByName(whole).groupBy("class", "lo").agg(F.max("hi").alias("hi"))
-    by_class = Window.partitionBy("class").orderBy("lo")
+    sides = [pairs.select(F.col(f"{c}1").alias("c1"), F.col(f"{c}2").alias("c2"), F.explode(f"spans_{c}").alias("s")) for c in ("a", "b")]
+    own = sides[0].unionByName(sides[1]).select(*CLASS, F.col("s")[0].alias("lo"), F.col("s")[1].alias("hi"))
+    whole = members.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("hi")).where("n > 1").select(*CLASS, F.lit(0).cast("bigint").alias("lo"), "hi")
+    found = own.unionByName(whole).groupBy(*CLASS, "lo").agg(F.max("hi").alias("hi"))
+    by_class = Window.partitionBy(*CLASS).orderBy("lo")
     reach = F.max("hi").over(by_class.rowsBetween(Window.unboundedPreceding, -1))
     starts = found.withColumn("opens", F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0))
-    runs = starts.withColumn("run", F.sum("opens").over(by_class.rowsBetween(Window.unboundedPreceding, 0))).groupBy("class", "run").agg(F.min("lo").alias("span_start"), F.max("hi").alias("span_end"))
-    return members.select("doc_id", "class").join(runs, "class").select("doc_id", "span_start", "span_end")
+    runs = starts.withColumn("run", F.sum("opens").over(by_class.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*CLASS, "run").agg(F.min("lo").alias("span_start"), F.max("hi").alias("span_end"))
+    return members.select("doc_id", *CLASS).join(runs, CLASS).select("doc_id", "span_start", "span_end")
 
 
 def shares(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
