@@ -43,6 +43,13 @@ def signatures(records: DataFrame, record_id: str, parts: Column) -> DataFrame:
     return rows.select("rec_id", F.explode(hashes).alias("s")).select("rec_id", "s.kind", "s.hash")
 
 
+def written(hashed: DataFrame) -> DataFrame:
+    """The signatures as a table in the shared folder, for a batch that is both checked and appended."""
+    path = fresh_path(hashed.sparkSession, "signatures")
+    hashed.write.parquet(path)
+    return hashed.sparkSession.read.parquet(path)
+
+
 def paragraphs(text: Column) -> Column:
     """The paragraphs of a text, folded in case and white space."""
     return F.transform(F.split(text, r"\n\s*\n"), lambda p: F.lower(F.trim(F.regexp_replace(p, r"\s+", " "))))

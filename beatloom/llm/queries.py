@@ -35,7 +35,7 @@ def _address_parts(df: DataFrame, *columns: str) -> DataFrame:
     rows = df.select("rec_id", *columns)
     for c in columns:
         rows = history.with_address_key(rows, c, f"{c}_key")
-    return history.signatures(rows, "rec_id", F.array(*[F.col(f"{c}_key") for c in columns]))
+    return history.written(history.signatures(rows, "rec_id", F.array(*[F.col(f"{c}_key") for c in columns])))
 
 
 def _batches_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +185,19 @@ addresses AS (
   FROM split
 )"""
 
+_LEAKS = r"""WITH words AS (
+  SELECT 'd' AS src, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(prompt), '[\p{L}\p{N}]+') FROM eval_items WHERE prompt IS NOT NULL
+), windows AS (
+  SELECT src, id, unnest(list_transform(range(1, len(t) - 8), lambda i: array_to_string(t[i:i + 9], ' '))) AS w FROM words WHERE len(t) >= 10
+) SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM windows d JOIN windows i USING (w) WHERE d.src = 'd' AND i.src = 'i'"""
+
+_SHARED = r"""WITH windows AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(text) - 318), lambda i: md5(substring(text, i, 320)))) AS w FROM documents WHERE length(text) >= 320
+) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM windows a JOIN windows b USING (w) WHERE a.doc_id < b.doc_id"""
+
 ORACLES = {
     "p3_found": f"""WITH {_ITEMS}, firsts AS (SELECT item, min(rec_id) AS first_rec_id FROM items GROUP BY item)
 SELECT min(f.first_rec_id) AS first_rec_id, i.rec_id FROM items i JOIN firsts f USING (item) WHERE f.first_rec_id < i.rec_id GROUP BY i.rec_id""",
+    "p9_found": _LEAKS,
+    "p10_found": _SHARED,
 }
