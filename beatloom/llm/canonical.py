@@ -45,8 +45,8 @@ def _undecorated(value: Column) -> Column:
     v = F.regexp_replace(v, r"\p{M}+", "")
     v = F.regexp_replace(v, r"[_\x{A0}\s]+", " ")
     v = F.regexp_replace(v, r"^[\s#\"'“”«»*]+|[\s\"'“”«»*,;:!]+$", "")
-    v = F.regexp_replace(v, r"(?:\s*\([^()]*\)|\s+[-–—]\s+\p{L}+)+[\s.,;]*$", "")
-    return F.regexp_replace(v, r"^(?:the\s+[\s#]*)+", "")
+    v = F.regexp_replace(v, r"(?:[\s-]*\([^()]*\)|\s+[-–—]\s+\p{L}+|-{3}\p{L}+)+[\s.,;]*$", "")
+    return F.regexp_replace(v, r"^(?:the[\s-]+[\s#]*)+", "")
 
 
 def folded(value: Column) -> Column:
@@ -67,7 +67,7 @@ def folded(value: Column) -> Column:
 def _initials(value: Column) -> Column:
     """The letters of a value that is nothing but initials, else null."""
     v = _undecorated(value)
-    return F.when(v.rlike(r"^(?:[a-z]\.){3,5}$|^(?:[a-z]\. ){2,4}[a-z]\.?$|^[a-z]{4,5}$"), F.regexp_replace(v, r"[.\s]", ""))
+    return F.when(v.rlike(r"^(?:[a-z]\.){3,5}\.*$|^(?:[a-z]\. ){2,4}[a-z]\.?$|^[a-z]{4,5}$"), F.regexp_replace(v, r"[.\s]", ""))
 
 
 def _designation(v: Column) -> Column:

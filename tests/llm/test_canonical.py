@@ -7,7 +7,7 @@ NAMES = ["Cirucen 6x6", "Cape Culasipol", "AH-62 Samoras", "Misepir Mk4", "Misep
 CASES = [
     ("cirucen 6X6", 1), ("Ciruecn 6x6", 1), ("6x6 Cirucen", 1), ("Cirucen 6 × 6", 1), ("#the Cirucen_6x6", 1), ("Cirucen 8x8", -1), ("c. culasipol", 2), ("Culasipol Cape", 2), ("Cápé Culasïpol (archive) - wide", 2),
     ("AH62 Samoras", 3), ("Samoras AH-62", 3), ("ah 62 SAMROAS", 3), ("AH-63 Samoras", -1), ("Misepir Mk IV", 4), ("Misepir Mark 4", 4), ("Misepir Mk.  III", 5), ("Misеpir Mk3", 5), ("Rufozuk 4 c", 6), ("Rufozuk 4-B", 7), ("Rufozuk", -1),
-    ("exer. tujurat anvil", 8), ("Tujurat Anvil, Exercise", 8), ("exercise: Tujurt Anvil", 8), ("B.D.H.A.", 9), ("bdha", 9), ("Birivalos Ducikar Har. Auth.", 9), ("Ducikar Harbour Authority, Birivalos", 9), ("Wicibin -class icebreaker", 10),
+    ("exer. tujurat anvil", 8), ("Tujurat Anvil, Exercise", 8), ("exercise: Tujurt Anvil", 8), ("B.D.H.A.", 9), ("bdha", 9), (" B.D.H.A..", 9), ("the-Misepir-Mk3", 5), ("Exercise-Tujurat-Anvil---wide", 8), ("Birivalos Ducikar Har. Auth.", 9), ("Ducikar Harbour Authority, Birivalos", 9), ("Wicibin -class icebreaker", 10),
     ("class icebreaker, Wicibin", 10), ("wicbin cl. icebreaker", 10), ('""Pt. Runuwom""', 11), (" L. Motisis ", 12), ("ft zojusos.", 13), ("ZZ-Pohizim", -1), ("Camp Dihecorer", -1), ("unknown vehicle", -1), ("??", -1), ("x" * 3000, -1),
 ]
 
