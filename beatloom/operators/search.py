@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beatloom.functions import text as T
+from beatloom.operators import blocks
 
 QUALITY = {"low": 0, "medium": 1, "high": 2}
 #: Points of a gate in tenths: an exact and a partial entity, an action, a context.
@@ -147,20 +148,22 @@ def additive_search(requests: DataFrame, catalog: DataFrame, k: int = 5) -> Data
     return _top(rows.where(fits & (F.col("tenths") > 0)).select("request_id", "entry_id", "tenths"), k)
 
 
-def best_of_entity(catalog: DataFrame) -> DataFrame:
-    """``entity, entry_id, media_type, quality, score``: the best entry that holds an entity, the least used first."""
-    held = catalog.select("entry_id", "media_type", "quality", (EXACT - _penalty(F.col("times_used"))).alias("tenths"), F.explode(F.array_distinct(_lowered(F.col("entities")))).alias("entity"))
-    best = held.groupBy("entity").agg(F.min(F.struct((-F.col("tenths")).alias("order"), "entry_id", "media_type", "quality")).alias("b"))
-    return best.select("entity", "b.entry_id", "b.media_type", "b.quality", (-F.col("b.order") / F.lit(10.0)).alias("score"))
-
-
-def best_per_beat(beats: DataFrame, catalog: DataFrame, key: str, entities: Column) -> DataFrame:
+def best_per_beat(beats: DataFrame, catalog: DataFrame, key: str, visual: Column) -> DataFrame:
     """``key, entry_id, media_type, quality, score`` of the beats that the catalog serves.
 
-    The first listed entity held exactly by some entry decides. The best entry
-    of each entity is settled once, so a popular entity costs one row.
+    Each distinct signature of a beat's visual (entities in their order, words
+    of the search query) is searched once with the gates and points of
+    :func:`gated_search` under its defaults: strictness general, quality
+    medium, no other filter. A visual without entities is searched by its query
+    alone; a beat without visual is not searched.
     """
-    asked = beats.select(key, F.posexplode(_lowered(entities)).alias("pos", "entity"))
-    served = asked.join(best_of_entity(catalog), "entity")
-    first = served.groupBy(key).agg(F.min(F.struct("pos", "entry_id", "media_type", "quality", "score")).alias("b"))
-    return first.select(key, "b.entry_id", "b.media_type", "b.quality", "b.score")
+    wanted = beats.where(visual.isNotNull()).select(key, _lowered(visual["entities"]).alias("entities"), F.array_join(F.array_sort(F.array_distinct(T.words(F.lower(F.coalesce(visual["search_query"], F.lit("")))))), " ").alias("query"))
+    wanted = wanted.withColumn("request_id", F.to_json(F.struct("entities", "query")))
+    none = F.array().cast("array<string>")
+    requests = wanted.select(
+        "request_id", "query", "entities", none.alias("actions"), none.alias("context"), F.lit("general").alias("strictness"), F.lit("medium").alias("min_quality"), F.lit(None).cast("string").alias("asset_type")
+    ).dropDuplicates(["request_id"])
+    found = blocks.scored(requests, catalog, "gated", 1)
+    best = found.groupBy("request_id").agg(F.min(F.struct((-F.col("tenths")).alias("order"), "entry_id")).alias("b")).select("request_id", "b.entry_id", (-F.col("b.order") / F.lit(10.0)).alias("score"))
+    best = best.join(catalog.select("entry_id", "media_type", "quality"), "entry_id")
+    return wanted.select(key, "request_id").join(best, "request_id").select(key, "entry_id", "media_type", "quality", "score")

@@ -124,7 +124,7 @@ def search_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.best_per_beat(table(spark, sf_dir, "beats"), _catalog(spark, sf_dir), "row_id", F.col("primary_visual.entities"))
+    return search.best_per_beat(table(spark, sf_dir, "beats"), _catalog(spark, sf_dir), "row_id", F.col("primary_visual"))
 
 
 def best_match_per_beat(spark: SparkSession, sf_dir: str) -> DataFrame:
