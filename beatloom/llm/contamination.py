@@ -4,8 +4,8 @@ Words are canonicalised into templates: numbers, units and slot words (any
 word that is not part of the items' common frame) become typed placeholders.
 Windows of template words of the items are joined by hash with those of the
 documents. For a leak the words of a matching window must be equal; for a
-re-parameterised copy the whole template must match at one place and the slots
-must be filled consistently.
+re-parameterised copy a run of windows must match and its slots must be filled
+consistently.
 
 The items are a fixed, small list: their windows are broadcast after a check
 of their number. Documents are only scanned; nothing of them is shuffled but
@@ -20,6 +20,8 @@ duplicated documents are all reported; an empty item list gives no rows.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,7 @@ BROADCAST_WINDOWS = 200_000
 
 # Words of measure that templates fold into one placeholder.
 UNITS = ("metres", "meters", "kilometres", "kilometers", "miles", "tonnes", "tons", "litres", "liters", "grams", "kilograms", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "km", "kg", "mm", "cm")
+_UNIT_SET = frozenset(UNITS)
 
 
 def words(text: Column) -> Column:
@@ -82,26 +85,89 @@ def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_t
     return hits.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.countDistinct("item_at").alias("n_windows"))
 
 
+def _numbered(word: str) -> bool:
+    return not word.isalpha() and any(unicodedata.category(c)[0] == "N" for c in word)
+
+
+def _template(tokens: list[str], frame_words: set[str], folded: bool) -> tuple[list[str], list[int]]:
+    """The template of a text and where each of its parts begins, with the number of words at the end.
+
+    ``folded`` makes one part of adjacent slot words: a number if all of them
+    have digits, else a name.
+    """
+    typed = ["@" if w in _UNIT_SET else w if w in frame_words else "#" if _numbered(w) else "*" for w in tokens]
+    if not folded:
+        return typed, list(range(len(tokens) + 1))
+    parts: list[str] = []
+    starts: list[int] = []
+    for at, t in enumerate(typed):
+        if parts and t in "#*" and parts[-1] in "#*":
+            parts[-1] = "#" if t == parts[-1] == "#" else "*"
+        else:
+            parts.append(t)
+            starts.append(at)
+    return parts, [*starts, len(tokens)]
+
+
+def _filled(item: list[str], found: list[str], item_starts: list[int], starts: list[int]) -> list[tuple]:
+    """Pairs of an item's words and what a document has for them; slots of other lengths as a whole."""
+    pairs = []
+    for a, b, c, d in zip(item_starts, item_starts[1:], starts, starts[1:]):
+        pairs += zip(item[a:b], found[c:d]) if b - a == d - c else [(tuple(item[a:b]), tuple(found[c:d]))]
+    return pairs
+
+
+def _runs(tokens: list[str], items: dict, frame_words: set[str], size: int) -> list[tuple]:
+    """``item_id, at_word, n_words, n_changed`` of the consistent maximal runs of one document."""
+    out: dict[tuple, int] = {}
+    for folded, (index, siblings) in items.items():
+        parts, starts = _template(tokens, frame_words, folded)
+        places: dict[tuple, list[int]] = {}
+        for at in range(len(parts) - size + 1):
+            for shape, item_at in index.get(tuple(parts[at : at + size]), ()):
+                places.setdefault((shape, at - item_at), []).append(at)
+        for (shape, shift), found in places.items():
+            breaks = [0, *(k for k in range(1, len(found)) if found[k] != found[k - 1] + 1), len(found)]
+            for lo, hi in zip(breaks, breaks[1:]):
+                first, last = found[lo], found[hi - 1] + size
+                for item_id, words_, item_starts in siblings[shape]:
+                    pairs = set(_filled(words_, tokens, item_starts[first - shift : last - shift + 1], starts[first : last + 1]))
+                    changed = sum(a != b for a, b in pairs)
+                    if changed and len({a for a, _ in pairs}) == len(pairs):
+                        out[item_id, starts[first], starts[last]] = changed
+    inside = lambda r: any(o != r and o[0] == r[0] and o[1] <= r[1] and r[2] <= o[2] for o in out)
+    return [(i, a, b - a, n) for (i, a, b), n in out.items() if not inside((i, a, b))]
+
+
 def reparameterised(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "prompt", size: int = WINDOW) -> DataFrame:
-    """``doc_id, item_id, at_word, n_changed``: whole items that a document repeats with other slot fillings.
+    """``doc_id, item_id, at_word, n_words, n_changed``: passages of items that a document repeats with other slot fillings.
 
-    Items of one template are represented by the smallest id. A slot word that
-    occurs several times in the item must be replaced by one word throughout.
+    A passage is a maximal run of matching windows, from one window upwards, of
+    the template, compared with the smallest item of each shape: a word that
+    occurs several times in the run must be replaced by one throughout, and
+    something must be changed.
     """
-    frame_words = frame_list(items, item_text)
-    tokens = items.select(F.col(f"`{item_key}`").cast("bigint").alias("item_id"), words(F.col(f"`{item_text}`")).alias("item_tokens")).where(F.size("item_tokens") >= size)
-    tokens = tokens.withColumn("shape", F.xxhash64(F.transform("item_tokens", lambda w: _typed(w, frame_words))))
-    leaders = tokens.groupBy("shape").agg(F.min(F.struct("item_id", "item_tokens")).alias("m")).select("m.item_id", "m.item_tokens")
-    leading = items.withColumn("_key", F.col(f"`{item_key}`").cast("bigint")).join(leaders.select(F.col("item_id").alias("_key")), "_key", "left_semi")
-    wanted = _item_windows(leading, item_key, item_text, frame_words, size)
-    hits = template_windows(documents, doc_key, doc_text, frame_words, size).join(wanted, "template")
-    placed = hits.groupBy(F.col("id").alias("doc_id"), "item_id", (F.col("at") - F.col("item_at")).alias("at_word"), "item_words").agg(F.countDistinct("item_at").alias("n"), F.count(F.when(F.col("exact") == F.col("item_exact"), 1)).alias("n_exact"))
-    whole = placed.where((F.col("n") == F.col("item_words") - size + 1) & (F.col("n_exact") < F.col("n"))).select("doc_id", "item_id", "at_word", "item_words")
-    with_item = whole.join(leaders, "item_id")
-    texts = documents.select(F.col(f"`{doc_key}`").cast("bigint").alias("doc_id"), F.col(f"`{doc_text}`").alias("_text"))
-    filled = with_item.join(texts, "doc_id").select("doc_id", "item_id", "at_word", "item_tokens", F.slice(words(F.col("_text")), F.col("at_word") + 1, F.col("item_words")).alias("found"))
-    pairs = F.array_distinct(F.arrays_zip("item_tokens", "found"))
-    filled = filled.withColumn("pairs", pairs)
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_tokens"])))
-    changed = F.size(F.filter("pairs", lambda p: p["item_tokens"] != p["found"]))
-    return filled.where(consistent).select("doc_id", "item_id", F.col("at_word").cast("bigint").alias("at_word"), changed.cast("bigint").alias("n_changed"))
+    frame_words = set(frame_list(items, item_text))
+    rows = items.select(F.col(f"`{item_key}`").cast("bigint"), words(F.col(f"`{item_text}`")).alias("tokens")).where(F.size("tokens") >= size).collect()
+    known: dict = {}
+    for folded in (False,):
+        index: dict[tuple, set] = {}
+        siblings: dict[tuple, list] = {}
+        for item_id, tokens in sorted(rows):
+            parts, starts = _template(tokens, frame_words, folded)
+            shape = tuple(parts)
+            siblings.setdefault(shape, [(item_id, tokens, starts)])
+            for at in range(len(parts) - size + 1):
+                index.setdefault(shape[at : at + size], set()).add((shape, at))
+        known[folded] = index, siblings
+    docs = documents.select(F.col(f"`{doc_key}`").cast("bigint").alias("doc_id"), words(F.col(f"`{doc_text}`")).alias("tokens")).where(F.size("tokens") >= size)
+
+    def scan(batches):  # noqa: ANN001, ANN202 - Arrow batches
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [(d, *r) for d, tokens in zip(batch["doc_id"].to_pylist(), batch["tokens"]) for r in _runs(tokens.as_py(), known, frame_words, size)]
+            columns = zip(*found) if found else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["doc_id", "item_id", "at_word", "n_words", "n_changed"])
+
+    return docs.mapInArrow(scan, "doc_id bigint, item_id bigint, at_word bigint, n_words bigint, n_changed bigint")
