@@ -120,6 +120,7 @@ def _filled(item: list[str], found: list[str], item_starts: list[int], starts: l
 def _runs(tokens: list[str], items: dict, frame_words: set[str], size: int) -> list[tuple]:
     """``item_id, at_word, n_words, n_changed`` of the consistent maximal runs of one document."""
     out: dict[tuple, int] = {}
+    leaked: set[tuple] = set()
     for folded, (index, siblings) in items.items():
         parts, starts = _template(tokens, frame_words, folded)
         places: dict[tuple, list[int]] = {}
@@ -133,9 +134,11 @@ def _runs(tokens: list[str], items: dict, frame_words: set[str], size: int) -> l
                 for item_id, words_, item_starts in siblings[shape]:
                     pairs = set(_filled(words_, tokens, item_starts[first - shift : last - shift + 1], starts[first : last + 1]))
                     changed = sum(a != b for a, b in pairs)
-                    if changed and len({a for a, _ in pairs}) == len(pairs):
+                    if not changed:
+                        leaked.add((starts[first], starts[last]))
+                    elif len({a for a, _ in pairs}) == len(pairs):
                         out[item_id, starts[first], starts[last]] = changed
-    inside = lambda r: any(o != r and o[0] == r[0] and o[1] <= r[1] and r[2] <= o[2] for o in out)
+    inside = lambda r: any(a <= r[1] and r[2] <= b for a, b in leaked) or any(o != r and o[0] == r[0] and o[1] <= r[1] and r[2] <= o[2] for o in out)
     return [(i, a, b - a, n) for (i, a, b), n in out.items() if not inside((i, a, b))]
 
 
@@ -143,20 +146,22 @@ def reparameterised(documents: DataFrame, items: DataFrame, doc_key: str = "doc_
     """``doc_id, item_id, at_word, n_words, n_changed``: passages of items that a document repeats with other slot fillings.
 
     A passage is a maximal run of matching windows, from one window upwards, of
-    the template, compared with the smallest item of each shape: a word that
-    occurs several times in the run must be replaced by one throughout, and
-    something must be changed.
+    the template word by word or with adjacent slot words folded, so that a
+    slot may be filled by another number of words. It is compared with every
+    item of the shape: what occurs several times in the run must be replaced by
+    one filling throughout, and something must be changed. What repeats one
+    item word for word is a leak of that item, not a passage of its siblings.
     """
     frame_words = set(frame_list(items, item_text))
     rows = items.select(F.col(f"`{item_key}`").cast("bigint"), words(F.col(f"`{item_text}`")).alias("tokens")).where(F.size("tokens") >= size).collect()
     known: dict = {}
-    for folded in (False,):
+    for folded in (False, True):
         index: dict[tuple, set] = {}
         siblings: dict[tuple, list] = {}
-        for item_id, tokens in sorted(rows):
+        for item_id, tokens in rows:
             parts, starts = _template(tokens, frame_words, folded)
             shape = tuple(parts)
-            siblings.setdefault(shape, [(item_id, tokens, starts)])
+            siblings.setdefault(shape, []).append((item_id, tokens, starts))
             for at in range(len(parts) - size + 1):
                 index.setdefault(shape[at : at + size], set()).add((shape, at))
         known[folded] = index, siblings

@@ -13,4 +13,19 @@ def found(spark, text, items=ITEMS):
 
 def test_part_of_a_prompt(spark):
     got = found(spark, "yesterday " + " ".join(BASE.format(88, "Vek", 1888, 6, 4, "Kor").split()[:11]) + " elsewhere")
-    assert 1 in got and {(r["at_word"], r["n_words"]) for r in got.values()} == {(1, 11)}
+    assert set(got) == {1, 2, 3, 4} and {(r["at_word"], r["n_words"]) for r in got.values()} == {(1, 11)}
+
+
+def test_slots_of_other_lengths(spark):
+    got = found(spark, BASE.format("88,189", "Marfen Bay", 1888, 6, "9", "Kor"))
+    assert set(got) == {1, 2, 3} and got[2]["at_word"] == 0
+
+
+def test_sibling_decides(spark):
+    """Items 2 and 4 are of one shape; the first of them refuses the fillings, the other does not."""
+    twice = [(2, BASE.format(7, "Wem", 1900, 7, "7", "Wem")), (4, BASE.format(12, "Mar", 1951, 77, "5", "Pel")), (5, BASE.format(1, "Qul", 2, 3, "4", "Tir"))]
+    assert set(found(spark, BASE.format(88, "Vek", 1888, 6, 4, "Kor"), twice)) == {4, 5}
+
+
+def test_a_leak_is_no_copy_of_its_siblings(spark):
+    assert not found(spark, ITEMS[1][1])
