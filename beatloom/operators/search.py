@@ -53,28 +53,6 @@ def containing_pairs(requested: DataFrame, held: DataFrame) -> DataFrame:
     return inside.unionByName(around).distinct().withColumn("exact", F.col("req") == F.col("held"))
 
 
-def _hits(requests: DataFrame, catalog: DataFrame, column: str, entry_column: str) -> DataFrame:
-    """``request_id, pos, entry_id, exact`` of each requested value that some value of an entry contains or is part of."""
-    asked = requests.select("request_id", F.posexplode(_lowered(F.col(column))).alias("pos", "req"))
-    held = catalog.select("entry_id", F.explode(F.array_distinct(_lowered(F.col(entry_column)))).alias("held"))
-    pairs = containing_pairs(asked, held)
-    return asked.join(pairs, "req").join(held, "held").groupBy("request_id", "pos", "entry_id").agg(F.max("exact").alias("exact"))
-
-
-def _overlap(query: Column, other: Column) -> Column:
-    return F.size(F.array_intersect(query, other))
-
-
-def _text_tenths(catalog: DataFrame, queries: DataFrame) -> DataFrame:
-    """``request_id, entry_id, tenths``: distinct query words in description, topic and tags, by an inverted index."""
-    asked = queries.select("request_id", F.explode(F.array_distinct(T.words(F.lower("query")))).alias("word"))
-    fields = (("description", 3, T.words(F.lower("description"))), ("topic", 5, T.words(F.lower("topic"))))
-    tags = F.flatten(F.transform(F.concat(_lowered(F.col("entities")), _lowered(F.col("actions"))), T.words))
-    index = [catalog.select("entry_id", F.explode(F.array_distinct(words)).alias("word"), F.lit(points).alias("points")) for _, points, words in (*fields, ("tags", 10, tags))]
-    postings = index[0].unionByName(index[1]).unionByName(index[2])
-    return postings.join(asked, "word").groupBy("request_id", "entry_id").agg(F.sum("points").alias("tenths"))
-
-
 def _penalty(times_used: Column) -> Column:
     return F.least(F.coalesce(times_used, F.lit(0)) * 2, F.lit(10))
 
@@ -86,20 +64,8 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
 
 
 def text_search(requests: DataFrame, catalog: DataFrame, k: int = 20) -> DataFrame:
-    """Top ``k`` entries of each request by words and reuse alone, after the quality gate.
-
-    Entries without any hit rank by reuse in the same order for every request,
-    so the first ``k`` of them serve all requests.
-    """
-    least = requests.select("request_id", quality_rank(F.col("min_quality")).alias("least"))
-    base = catalog.select("entry_id", quality_rank(F.col("quality")).alias("q"), (-_penalty(F.col("times_used"))).alias("base"))
-    hits = _text_tenths(catalog, requests).join(base, "entry_id").join(least, "request_id").where("q >= least").select("request_id", "entry_id", (F.col("tenths") + F.col("base")).alias("tenths"))
-    fill = None
-    for rank in range(3):
-        first = base.where(F.col("q") >= rank).orderBy(F.desc("base"), "entry_id").limit(k).select(F.lit(rank).alias("least"), "entry_id", F.col("base").alias("tenths"))
-        fill = first if fill is None else fill.unionByName(first)
-    filled = least.join(fill, "least").select("request_id", "entry_id", "tenths")
-    return _top(hits.unionByName(filled).groupBy("request_id", "entry_id").agg(F.max("tenths").alias("tenths")), k)
+    """Top ``k`` entries of each request by words and reuse alone, after the quality gate."""
+    return _top(blocks.scored(requests, catalog, "text", k), k)
 
 
 def gated_search(requests: DataFrame, catalog: DataFrame, k: int = 20) -> DataFrame:
@@ -108,44 +74,12 @@ def gated_search(requests: DataFrame, catalog: DataFrame, k: int = 20) -> DataFr
     The first requested entity that an entry holds, wholly or in part, decides:
     a partial hit is refused under ``exact`` and ``specific``.
     """
-    entity = _hits(requests, catalog, "entities", "entities").groupBy("request_id", "entry_id").agg(F.min(F.struct("pos", (~F.col("exact")).alias("partial"))).alias("first"))
-    action = _hits(requests, catalog, "actions", "actions").select("request_id", "entry_id").distinct().withColumn("has_action", F.lit(True))
-    context = _hits(requests, catalog, "context", "environment").select("request_id", "entry_id").distinct().withColumn("has_context", F.lit(True))
-    words = _text_tenths(catalog, requests).withColumnRenamed("tenths", "word_tenths")
-    asks = lambda c: F.size(_lowered(F.col(c))) > 0
-    wanted = requests.select(
-        "request_id", "strictness", "asset_type", quality_rank(F.col("min_quality")).alias("least"), asks("entities").alias("by_entity"), asks("actions").alias("by_action"), asks("context").alias("by_context")
-    )
-    rows = entity.join(wanted.where("by_entity"), "request_id")
-    rows = rows.where(~F.col("first.partial") | ~F.coalesce(F.col("strictness"), F.lit("general")).isin("exact", "specific"))
-    attributes = catalog.select("entry_id", "media_type", quality_rank(F.col("quality")).alias("q"), _penalty(F.col("times_used")).alias("penalty"))
-    rows = rows.join(attributes, "entry_id").where((F.col("q") >= F.col("least")) & (F.col("asset_type").isNull() | (F.col("asset_type") == F.col("media_type"))))
-    rows = rows.join(action, ["request_id", "entry_id"], "left").join(context, ["request_id", "entry_id"], "left").join(words, ["request_id", "entry_id"], "left")
-    rows = rows.where((~F.col("by_action") | F.col("has_action")) & (~F.col("by_context") | F.col("has_context")))
-    tenths = (
-        F.coalesce("word_tenths", F.lit(0))
-        + F.when(F.col("first.partial"), PARTIAL).otherwise(EXACT)
-        + F.when(F.col("by_action"), ACTION).otherwise(0)
-        + F.when(F.col("by_context"), CONTEXT).otherwise(0)
-        - F.col("penalty")
-    )
-    return _top(rows.select("request_id", "entry_id", tenths.alias("tenths")), k)
+    return _top(blocks.scored(requests, catalog, "gated", k), k)
 
 
 def additive_search(requests: DataFrame, catalog: DataFrame, k: int = 5) -> DataFrame:
     """Top ``k`` entries of each request by summed points: no gate but the type and a positive score."""
-    by_entity = _hits(requests, catalog, "entities", "entities").groupBy("request_id", "entry_id").agg(F.sum(F.when(F.col("exact"), 50).otherwise(20)).alias("tenths"))
-    asked_actions = requests.select("request_id", F.explode(_lowered(F.col("actions"))).alias("action"))
-    held_actions = catalog.select("entry_id", F.explode(F.array_distinct(_lowered(F.col("actions")))).alias("action"))
-    by_action = asked_actions.join(held_actions, "action").groupBy("request_id", "entry_id").agg((F.count(F.lit(1)) * 15).alias("tenths"))
-    asked_words = requests.select("request_id", F.explode(T.words(F.lower("query"))).alias("word"))
-    held_words = catalog.select("entry_id", F.explode(F.array_distinct(T.words(F.lower("description")))).alias("word"))
-    by_word = asked_words.join(held_words, "word").groupBy("request_id", "entry_id").agg((F.count(F.lit(1)) * 5).alias("tenths"))
-    points = by_entity.unionByName(by_action).unionByName(by_word).groupBy("request_id", "entry_id").agg(F.sum("tenths").alias("tenths"))
-    kinds = requests.select("request_id", "asset_type")
-    rows = points.join(catalog.select("entry_id", "media_type"), "entry_id").join(kinds, "request_id")
-    fits = F.when(F.col("asset_type") == "video", F.col("media_type") == "video").when(F.col("asset_type") == "image", F.col("media_type").isin("image", "video")).otherwise(True)
-    return _top(rows.where(fits & (F.col("tenths") > 0)).select("request_id", "entry_id", "tenths"), k)
+    return _top(blocks.scored(requests, catalog, "additive", k), k)
 
 
 def best_per_beat(beats: DataFrame, catalog: DataFrame, key: str, visual: Column) -> DataFrame:

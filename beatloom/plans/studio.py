@@ -86,29 +86,21 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------------------- search
 
-#: Words of the requests' kinds, by the number of the entity.
-_ACTIONS, _CONTEXTS = ("docking", "loading", "refuelling"), ("arctic", "urban", "desert", "woodland")
-_STRICTNESS, _QUALITIES, _TYPES = ("general", "exact", "specific", "loose"), ("low", "medium", "high"), ("video", "image", "map")
-
-
-def _by_number(values: tuple[str, ...], every: int) -> F.Column:
-    picked = F.element_at(F.array(*map(F.lit, values)), (F.col("entity_id") % len(values) + 1).cast("int"))
-    return F.when(F.col("entity_id") % every == 0, picked)
+#: Every such row of the beats is a request.
+REQUEST_EVERY = 20
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request for each canonical entity: the fixed query set of the searches."""
-    maybe = lambda c: F.when(c.isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))
-    return table(spark, sf_dir, "entity_reference").select(
-        F.col("entity_id").alias("request_id"),
-        F.concat_ws(" ", "name", "category", F.lit("docking near the bay")).alias("query"),
-        F.array("name", F.element_at(F.split("name", " "), -1)).alias("entities"),
-        maybe(_by_number(_ACTIONS, 2)).alias("actions"),
-        maybe(_by_number(_CONTEXTS, 3)).alias("context"),
-        F.element_at(F.array(*map(F.lit, _STRICTNESS)), (F.col("entity_id") % 4 + 1).cast("int")).alias("strictness"),
-        F.element_at(F.array(*map(F.lit, _QUALITIES)), (F.col("entity_id") % 3 + 1).cast("int")).alias("min_quality"),
-        _by_number(_TYPES, 5).alias("asset_type"),
-    )
+    """The query set of the searches: the visuals of the beats whose id is divisible by ``REQUEST_EVERY``.
+
+    A missing visual asks for nothing; the quality is the search's default.
+    """
+    v, none = F.col("primary_visual"), F.array().cast("array<string>")
+    listed = lambda c: F.coalesce(v[c], none).alias(c)
+    return table(spark, sf_dir, "beats").where(F.col("row_id") % REQUEST_EVERY == 0).select(
+        F.col("row_id").alias("request_id"), F.coalesce(v["search_query"], F.lit("")).alias("query"), listed("entities"), listed("actions"), listed("context"),
+        v["strictness"].alias("strictness"), F.lit("medium").alias("min_quality"), catalog.media_type(v["media_type"]).alias("asset_type"),
+    )
 
 
 def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +108,8 @@ def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.gated_search(_requests(spark, sf_dir), _catalog(spark, sf_dir))
+    untyped = _requests(spark, sf_dir).withColumn("asset_type", F.lit(None).cast("string"))  # the type filter is off by default
+    return search.gated_search(untyped, _catalog(spark, sf_dir))
 
 
 def search_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
