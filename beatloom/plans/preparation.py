@@ -49,17 +49,22 @@ def p4_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities and overlay contents with the positions of their parents."""
-    return nested.item_table(nested.nodes(table(spark, sf_dir, "clue_payloads")))
+    return nested.item_table(nested.nodes(table(spark, sf_dir, "clue_payloads"), kinds=("entity", "overlay")))
 
 
 def p5_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat table of beats with their interval labels."""
-    return nested.beat_table(nested.nodes(table(spark, sf_dir, "clue_payloads")))
+    """The flat table of beats."""
+    return nested.beat_table(nested.nodes(table(spark, sf_dir, "clue_payloads"), kinds=("beat",))).select("raw_id", "beat_pos", "beat_id")
 
 
 def p5_visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat table of visuals with the beat that holds them."""
-    return nested.visual_table(nested.nodes(table(spark, sf_dir, "clue_payloads")))
+    return nested.visual_table(nested.nodes(table(spark, sf_dir, "clue_payloads"), kinds=("visual",))).select("raw_id", "beat_pos", "node", "node_pos", "media_type")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p4_found, p4_kinds, p5_found, p5_beats, p5_visuals)}
+def p5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of entities, actions and contexts with the visual that holds them."""
+    return nested.term_table(nested.nodes(table(spark, sf_dir, "clue_payloads"), kinds=("entity", "action", "context"))).drop("copy")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p4_found, p4_kinds, p5_found, p5_beats, p5_visuals, p5_terms)}

@@ -86,3 +86,32 @@ def test_tables(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_repeated_ids_over_partitions(spark):
+    """Two different payloads of one id in two partitions keep their own parents."""
+    beats = [{"beat_id": f"B{i}", "primary_visual": [{"entities": [f"E{i}"]}] * (i % 3 + 1), "text_overlay": f"T{i}"} for i in range(40)]
+    data = [(7, json.dumps({"beats": beats})), (7, json.dumps({"clue": {"beats": beats[5:9]}})), (7, json.dumps(beats[::-1]))]
+    df = spark.createDataFrame(data, "raw_id bigint, payload string").repartition(3, "payload")
+    got = sorted(tuple(r) for r in N.item_table(N.nodes(df)).select("raw_id", "beat_pos", "node", "node_pos", "item_pos", "item_value").collect())
+    assert got == brute(data)
+    nodes = N.nodes(df).collect()
+    assert len({r["copy"] for r in nodes}) == 3 and len({(r["copy"], r["pre"]) for r in nodes}) == len(nodes)
+
+
+def test_links_are_containment(spark):
+    """The linked beat and visual of every node, against a search of all intervals."""
+    rows = N.nodes(spark.createDataFrame(payloads()[:4], "raw_id bigint, payload string")).collect()
+    for r in rows:
+        for kind in N.LINKED:
+            around = [o["pre"] for o in rows if o["copy"] == r["copy"] and o["kind"] == kind and o["pre"] < r["pre"] and r["post"] < o["post"]]
+            assert r[f"{kind}_pre"] == (max(around) if around else None)
+
+
+def test_terms_and_kinds(spark):
+    beat = {"beat_id": "B", "primary_visual": {"entities": ["A"], "actions": "run", "context": [None, "dawn"]}, "last_resort": {"content": "card"}, "notes": {"a": [1]}}
+    df = spark.createDataFrame([(1, json.dumps({"meta": {"v": 1}, "beats": [beat]}))], "raw_id bigint, payload string")
+    terms = {(r["kind"], r["item_pos"], r["item_value"]) for r in N.term_table(N.nodes(df)).collect()}
+    assert terms == {("entity", 0, "A"), ("action", 0, "run"), ("context", 1, "dawn")}
+    assert {r["kind"] for r in N.nodes(df).collect()} >= {"payload", "envelope", "beat", "visual", "entity", "action", "context", "last_resort", "object", "list", "value"}
+    assert {r["kind"] for r in N.nodes(df, kinds=("beat",)).collect()} == {"beat"}
