@@ -12,6 +12,13 @@ Defined cases:
 * a time that occurs twice is the earlier moment; one that never occurs moves
   forward by the skipped span (the offset before the change applies);
 * missing parts of a time are zero, fraction digits beyond microseconds are dropped;
+* a bare number of nine digits and more counts from 1970 in the unit that its length tells
+  (9 to 11 digits seconds, to 14 milliseconds, to 17 microseconds, more nanoseconds);
+  shorter ones are no count: eight digits are a date, fewer a year or a serial number;
+* years 0001 to 9999 are read; those before the first and after the last explicit change
+  of a zone use the equal year (leap or not, same weekdays) of the table of intervals;
+* second 60 and hour 24 denote no existing time here; an abbreviation that several zones
+  use (``BST, CST, EST, IST, MST``) has the offset listed below and the kind ``abbreviation``;
 * slashes put the month first, dots the day first;
 * null, blank, unknown notations, dates that do not exist and local times of
   an unknown zone give null; a null zone means UTC;
@@ -22,7 +29,7 @@ Defined cases:
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -57,10 +64,16 @@ NOTATIONS = (
     (rf"^(?:[A-Za-z]{{3,9}},?\s+)?{_NAME}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})(?:,?\s+{_TIME}{_AMPM}{_ZONE})?$", (3, 1, 2, 4, 5, 6, 7, 8, 9, 10)),
 )
 
-#: Digits of an epoch count and the microseconds of its unit.
-_EPOCHS = ((r"^-?\d{9,10}(\.\d+)?$", 1_000_000), (r"^-?\d{12,13}(\.\d+)?$", 1_000), (r"^-?\d{15,16}$", 1))
+#: Abbreviations that mean other offsets elsewhere.
+SHARED_ABBREVIATIONS = ("BST", "CST", "EST", "IST", "MST")
 
-_FIRST_YEAR, _LAST_YEAR = 1900, 2100
+#: Digits of a count from 1970, and the microseconds of its unit as numerator and denominator.
+_EPOCHS = ((r"^-?\d{9,11}(\.\d+)?$", 1_000_000, 1), (r"^-?\d{12,14}(\.\d+)?$", 1_000, 1), (r"^-?\d{15,17}(\.\d+)?$", 1, 1), (r"^-?\d{18,21}(\.\d+)?$", 1, 1_000))
+
+#: Local years with intervals of their own: the zone data knows no change before them, and after its last explicit one (2087) only a yearly rule.
+_FIRST_YEAR, _LAST_YEAR = 1840, 2128
+#: The last years have every calendar (weekday of the first of January, leap or not) at least once, so that each later year has its equal among them.
+_RULE_YEARS = range(_LAST_YEAR - 27, _LAST_YEAR + 1)
 _DAY_US = 86_400_000_000
 
 
@@ -132,8 +145,8 @@ def parsed(df: DataFrame, value: str, zone: str) -> DataFrame:
         }
     ).drop("_half", "_y", "_m", "_d")
     epoch: Column | None = None
-    for pattern, unit in _EPOCHS:
-        us = F.floor(F.col("_text").try_cast("decimal(30,9)") * unit).cast("bigint")
+    for pattern, times, over in _EPOCHS:
+        us = F.floor(F.col("_text").try_cast("decimal(30,6)") * times / over).try_cast("bigint")
         epoch = F.when(F.col("_text").rlike(pattern), us) if epoch is None else epoch.when(F.col("_text").rlike(pattern), us)
     readable = (F.col("_h") < 24) & (F.col("_mi") < 60) & (F.col("_s") < 60) & (F.col("_written").isNull() | F.col("_offset_us").isNotNull())
     rows = rows.withColumns(
@@ -141,6 +154,7 @@ def parsed(df: DataFrame, value: str, zone: str) -> DataFrame:
             "_local_us": F.when(readable, F.col("_day") * _DAY_US + (F.col("_h") * 3600 + F.col("_mi") * 60 + F.col("_s")) * 1_000_000 + F.col("_f")),
             "_zone": F.coalesce(F.col("_named"), _record_zone(zone)),
             "_epoch": epoch,
+            "_shared": F.coalesce(F.upper("_written").isin(*SHARED_ABBREVIATIONS), F.lit(False)),
         }
     ).drop("_day", "_h", "_mi", "_s", "_f", "_named", "_written", "_text")
     return rows.withColumns({"_local_us": F.coalesce("_local_us", "_epoch"), "_offset_us": F.when(F.col("_local_us").isNull(), F.lit(0)).otherwise(F.col("_offset_us")).cast("bigint")}).drop("_epoch")
@@ -167,8 +181,8 @@ def _intervals_of(name: str) -> list[tuple]:
     def offset(second: int) -> int:
         return int((origin + timedelta(seconds=second)).astimezone(zone).utcoffset().total_seconds())
 
-    lo = int((datetime(_FIRST_YEAR, 1, 1, tzinfo=timezone.utc) - origin).total_seconds())
-    end = int((datetime(_LAST_YEAR, 1, 1, tzinfo=timezone.utc) - origin).total_seconds())
+    lo = int((datetime(_FIRST_YEAR, 1, 1, tzinfo=timezone.utc) - origin).total_seconds()) - 3 * 86_400
+    end = int((datetime(_LAST_YEAR + 1, 1, 3, tzinfo=timezone.utc) - origin).total_seconds())
     out, since, at, current = [], lo, lo, offset(lo)
     while at < end:
         ahead = min(at + 12 * 86_400, end)
@@ -188,7 +202,7 @@ def _intervals_of(name: str) -> list[tuple]:
 def zone_intervals(zones: DataFrame) -> DataFrame:
     """Offset intervals of the zones in column ``_zone``, one array for each zone and local year.
 
-    Bounded by the IANA data (about 600 zones, 200 years), whatever the input.
+    Bounded by the IANA data (about 600 zones, 290 years), whatever the input.
     """
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,10 +217,22 @@ def zone_intervals(zones: DataFrame) -> DataFrame:
     return per_year.groupBy("_zone", "_year").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "off"))).alias("_spans"))
 
 
+def _first_of(y: Column) -> Column:
+    return F.make_date(y, F.lit(1), F.lit(1))
+
+
+def _table_year(y: Column) -> Column:
+    """The year of the table of intervals whose rules and weekdays are those of year ``y``."""
+    calendars = {date(r, 1, 1).weekday() * 1000 + date(r, 12, 31).timetuple().tm_yday: r for r in _RULE_YEARS}
+    length = F.dayofyear(F.make_date(y, F.lit(12), F.lit(31)))
+    later = F.try_element_at(F.create_map(*[F.lit(x) for pair in calendars.items() for x in pair]), F.weekday(_first_of(y)) * 1000 + length)
+    return F.when(y.between(_FIRST_YEAR, _LAST_YEAR), y).when(y > _LAST_YEAR, later).otherwise(F.lit(_FIRST_YEAR) + 366 - length)
+
+
 def normalised(df: DataFrame, value: str = "created_at", zone: str = "capture_tz", out: str = "utc_us") -> DataFrame:
     """Adds ``out``, the microseconds since 1970-01-01 UTC, and ``<out>_kind``.
 
-    The kind is ``offset`` (written), ``local``, ``ambiguous`` or ``nonexistent``
+    The kind is ``offset`` (written; ``abbreviation`` if by one that several zones use), ``local``, ``ambiguous`` or ``nonexistent``
     (resolved with a zone), or ``unreadable`` with a null ``out``. Columns of
     these names are replaced, all others pass through whatever their names.
     """
@@ -217,15 +243,18 @@ def normalised(df: DataFrame, value: str = "created_at", zone: str = "capture_tz
     spans = zone_intervals(packed.select(F.explode(F.array(_record_zone("_capture"), named)).alias("_zone")))
     rows = parsed(packed, "_value", "_capture")
     rows = rows.withColumn("_zone", F.when(F.col("_offset_us").isNull() & F.col("_local_us").isNotNull(), F.col("_zone")))
-    rows = rows.withColumn("_year", F.when(F.col("_zone").isNotNull(), F.year(F.timestamp_micros("_local_us"))))
+    rows = rows.withColumn("_written_year", F.when(F.col("_zone").isNotNull(), F.year(F.timestamp_micros("_local_us"))))
+    rows = rows.withColumn("_year", _table_year(F.col("_written_year")))
     joined = rows.join(F.broadcast(spans), ["_zone", "_year"], "left")
-    local = F.col("_local_us")
-    hits = F.filter("_spans", lambda s: (s["lo"] <= local) & (local < s["hi"]))
-    before = F.filter("_spans", lambda s: s["hi"] <= local)
+    shift = F.when(F.col("_year") != F.col("_written_year"), F.datediff(_first_of(F.col("_year")), _first_of(F.col("_written_year"))).cast("bigint") * _DAY_US).otherwise(0)
+    joined = joined.withColumn("_probe", F.col("_local_us") + shift)
+    local, probe = F.col("_local_us"), F.col("_probe")
+    hits = F.filter("_spans", lambda s: (s["lo"] <= probe) & (probe < s["hi"]))
+    before = F.filter("_spans", lambda s: s["hi"] <= probe)
     offset = F.when(F.size(hits) > 0, F.array_max(F.transform(hits, lambda s: s["off"]))).otherwise(F.element_at(F.when(F.size(before) > 0, before), -1)["off"])
     kind = (
         F.when(local.isNull(), "unreadable")
-        .when(F.col("_offset_us").isNotNull(), "offset")
+        .when(F.col("_offset_us").isNotNull(), F.when(F.col("_shared"), "abbreviation").otherwise("offset"))
         .when(F.col("_spans").isNull() | offset.isNull(), "unreadable")
         .when(F.size(hits) > 1, "ambiguous")
         .when(F.size(hits) == 1, "local")

@@ -78,3 +78,34 @@ def test_against_zone_data(spark, zone):
             want.append(int(round((aware - EPOCH).total_seconds() * 1_000_000)))
     got = run(spark, rows)
     assert [got[i][0] for i in range(len(rows))] == want
+
+
+YEARS = [("1899-07-01 12:00:00", "Europe/Paris"), ("1839-01-01", "America/New_York"), ("0804-02-29 10:00", "Asia/Tokyo"), ("1844-12-31 12:00", "Asia/Manila"), ("2101-07-01 12:00:00", "Europe/Paris"), ("2400-02-29 12:00", "America/New_York"), ("9998-12-31 23:30", "Australia/Sydney"), ("2127-03-09 02:30", "America/New_York")]
+
+
+def test_years_beyond_the_zone_data(spark):
+    got = run(spark, YEARS)
+    for i, (value, zone) in enumerate(YEARS):
+        local = datetime.fromisoformat(value).replace(tzinfo=ZoneInfo(zone), fold=0)
+        assert got[i][0] == (local - EPOCH) // timedelta(microseconds=1), (value, zone)
+    assert got[7][1] == "nonexistent"
+
+
+def test_every_later_year_has_its_equal(spark):
+    """Days around the changes of every tenth year to 9990, against the standard library."""
+    rows = [(f"{y:04d}-{m:02d}-{d:02d} 02:15", zone) for zone in ("America/New_York", "Australia/Sydney") for y in range(2090, 9991, 79) for m, d in ((1, 1), (3, 9), (3, 14), (4, 2), (4, 7), (10, 1), (10, 7), (11, 1), (11, 7), (12, 31))]
+    got = run(spark, rows)
+    for i, (value, zone) in enumerate(rows):
+        assert got[i][0] == (datetime.fromisoformat(value).replace(tzinfo=ZoneInfo(zone), fold=0) - EPOCH) // timedelta(microseconds=1), (value, zone)
+
+
+def test_counts_of_any_length(spark):
+    counts = {"123456789": 123456789000000, "99999999999": 99999999999000000, "-86400000000": -86400000000000000, "100000000000.5": 100000000000500, "12345678901234": 12345678901234000, "16954251649637430": 16954251649637430, "1695425164963743123": 1695425164963743, "169542516496.5": 169542516496500}
+    got = run(spark, [(v, "UTC") for v in counts])
+    assert [got[i][0] for i in range(len(counts))] == list(counts.values())
+    assert set(run(spark, [("2021", None), ("7", None), ("1234567", None)]).values()) == {(None, "unreadable")}
+
+
+def test_shared_abbreviations_are_marked(spark):
+    got = run(spark, [("21-Oct-2022 09:27:51 IST", None), ("21-Oct-2022 09:27:51 JST", None)])
+    assert got == {0: (us(2022, 10, 21, 9, 27, 51, offset=330), "abbreviation"), 1: (us(2022, 10, 21, 9, 27, 51, offset=540), "offset")}
