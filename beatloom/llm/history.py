@@ -1,53 +1,60 @@
 """Checking new batches for duplicates against everything already accepted.
 
-The history is a table of hashes only, bucketed and sorted by hash in the
-shared folder: one row for each distinct exact content and each distinct part
-(paragraph, address) with the first record that carried it. A new batch is
-hashed, folded to one row for each hash, and joined bucket by bucket with the
-history, which is neither shuffled nor read again in any other form; then its
-own new hashes are appended. A backlog of several batches may be checked at
-once: records are compared with those of smaller id, so that the result is the
-one of taking the batches in turn.
+The history is one table of 64-bit hashes, bucketed by hash in the shared
+folder: for each distinct whole content and each distinct part (paragraph,
+address) the first record that carried it. A new batch is hashed and folded to
+one row for each hash; a semi-join, bucket by bucket, tells which of its hashes
+the history knows. Only the folded batch is shuffled, into the buckets of the
+history; the history is streamed through, neither shuffled nor sorted nor
+aggregated. Then the batch's own new hashes are appended.
+
+A named history outlives the session: opening it again finds the same buckets.
+Several batches may be checked in one round: records are compared with those of
+smaller id, so that the result is the one of taking the batches in turn.
 
 A hash that a third of all records share is folded on the map side before any
-shuffle; the records join the folded hashes by an ordinary shuffle join, which
-adaptive execution splits where a key is hot.
+shuffle, and its rows are spread over many tasks (``operators.skew``).
 
 Defined cases: records without any part are no case; a part repeated within a
 record counts once; null and blank parts do not count; the same record checked
 twice matches itself only under a smaller id; an empty batch or history gives
-an empty result and appends nothing.
+an empty result and appends nothing; other columns of any name do not matter.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatloom.session import fresh_path
+from beatloom.operators.skew import joined_unique
+from beatloom.session import exists, fresh_path, hadoop_path, shared_dir
+from beatloom.session import written as stored
 
 #: Kinds of hash: of a record's whole normalised content, and of each of its parts.
 WHOLE, PART = "whole", "part"
+#: Records of one round at most, unless a single batch has more.
+ROUND_ROWS = 1_000_000
 
 
-def signatures(records: DataFrame, record_id: str, parts: Column) -> DataFrame:
-    """``rec_id, kind, hash`` of the normalised parts of each record (an array column)."""
+def signatures(records: DataFrame, record_id: str, parts: Column, batch: Column | None = None) -> DataFrame:
+    """``rec_id, batch, kind, hash`` of the normalised parts of each record (an array column); the kind is part of what is hashed."""
     kept = F.array_sort(F.array_distinct(F.filter(parts, lambda p: F.trim(p) != "")))
-    rows = records.select(F.col(f"`{record_id}`").cast("bigint").alias("rec_id"), kept.alias("parts")).where("size(parts) > 0")
+    rows = records.select(F.col(f"`{record_id}`").cast("bigint").alias("rec_id"), (F.lit(0) if batch is None else batch).cast("bigint").alias("batch"), kept.alias("parts"))
     hashes = F.concat(
         F.array(F.struct(F.lit(WHOLE).alias("kind"), F.xxhash64(F.lit(WHOLE), F.array_join("parts", "\x1f")).alias("hash"))),
         F.transform("parts", lambda p: F.struct(F.lit(PART).alias("kind"), F.xxhash64(F.lit(PART), p).alias("hash"))),
     )
-    return rows.select("rec_id", F.explode(hashes).alias("s")).select("rec_id", "s.kind", "s.hash")
+    # the outer explode keeps its test for emptiness above it, where the parts are there already
+    return rows.select("rec_id", "batch", F.explode_outer(F.when(F.size("parts") > 0, hashes)).alias("s")).select("rec_id", "batch", "s.kind", "s.hash").where("hash is not null")
 
 
 def written(hashed: DataFrame) -> DataFrame:
     """The signatures as a table in the shared folder, for a batch that is both checked and appended."""
-    path = fresh_path(hashed.sparkSession, "signatures")
-    hashed.write.parquet(path)
-    return hashed.sparkSession.read.parquet(path)
+    return stored(hashed, "signatures")
 
 
 def paragraphs(text: Column) -> Column:
@@ -56,35 +63,59 @@ def paragraphs(text: Column) -> Column:
 
 
 class History:
-    """The hashes of all accepted records, in one bucketed table."""
+    """The hashes of all accepted records, in one bucketed table.
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
+    With a ``name`` the table lies in ``folder`` (by default beside the
+    checkpoints) and stays there; opened again, in whatever session, it keeps its
+    number of buckets. Without one it is deleted when the application ends.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None, name: str | None = None, folder: str | None = None):
         self.spark = spark
         self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        if name is None:
+            self.path = fresh_path(spark, "history")
+        else:
+            root = f"{(folder or shared_dir(spark)).rstrip('/')}/{name}"
+            if exists(spark, f"{root}/buckets-*"):
+                jvm_path, system = hadoop_path(spark, f"{root}/buckets-*")
+                self.buckets = int(re.search(r"buckets-(\d+)$", system.globStatus(jvm_path)[0].getPath().toString()).group(1))
+            self.path = f"{root}/buckets-{self.buckets}"
         self.name = f"history_{uuid.uuid4().hex}"
-        self.path = fresh_path(spark, "history")
-        self.written = False
-
-    def _rows(self) -> DataFrame | None:
-        return self.spark.table(self.name) if self.written else None
-
-    def _firsts(self, hashed: DataFrame) -> DataFrame:
-        """One row for each hash of the batch: its first record in the batch and in the history."""
-        own = hashed.groupBy("hash", "kind").agg(F.min("rec_id").alias("own_first"), F.count(F.lit(1)).alias("n_own"))
-        if (past := self._rows()) is None:
-            return own.withColumn("past_first", F.lit(None).cast("bigint"))
-        past = past.groupBy("hash", "kind").agg(F.min("rec_id").alias("past_first"))
-        return own.join(past, ["hash", "kind"], "left")
-
-    def check(self, hashed: DataFrame) -> DataFrame:
+        self.written = exists(spark, f"{self.path}/*.parquet")
+        if self.written:
+            self._register()
+
+    def _register(self) -> None:
+        self.spark.sql(f"CREATE TABLE {self.name} (hash BIGINT, rec_id BIGINT, batch BIGINT) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+
+    def rows(self) -> DataFrame:
+        """``hash, rec_id, batch`` of everything accepted so far, one row for each hash."""
+        return self.spark.table(self.name)
+
+    def known(self, hashed: DataFrame) -> DataFrame | None:
+        """The rows of the history whose hash occurs in a batch: a semi-join of each bucket with the folded batch, which is its small side."""
+        if not self.written:
+            return None
+        return self.rows().join(hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).select("hash").hint("shuffle_hash"), "hash", "left_semi")
+
+    def folded(self, hashed: DataFrame) -> DataFrame:
+        """One row for each hash of a batch: its first record in the batch, and in the history; written once for checking and appending."""
+        own = hashed.groupBy("hash").agg(F.min("rec_id").alias("rec_id"), F.min("batch").alias("batch"), F.count(F.lit(1)).alias("n_own"))
+        if (past := self.known(hashed)) is None:
+            return stored(own.withColumn("past_first", F.lit(None).cast("bigint")), "folded")
+        return stored(own.join(past.select("hash", F.col("rec_id").alias("past_first")), "hash", "left"), "folded")
+
+    def check(self, hashed: DataFrame, folded: DataFrame | None = None) -> DataFrame:
         """``rec_id, first_rec_id, full_copy, n_parts, n_shared`` of the records that repeat an earlier one.
 
         ``n_shared`` of the record's ``n_parts`` parts occur in earlier records;
         ``first_rec_id`` is the smallest of those, ``full_copy`` tells whether
         one of them has exactly the same parts.
         """
-        firsts = self._firsts(hashed).select("hash", "kind", F.least("own_first", "past_first").alias("first"))
-        met = hashed.join(firsts, ["hash", "kind"])
+        folded = self.folded(hashed) if folded is None else folded
+        firsts = folded.select("hash", F.least("rec_id", "past_first").alias("first"), "n_own")
+        met = joined_unique(hashed.select("rec_id", "kind", "hash"), firsts, "hash", "n_own")
         earlier = F.when(F.col("first") < F.col("rec_id"), F.col("first"))
         per_record = met.groupBy("rec_id").agg(
             F.min(earlier).alias("first_rec_id"),
@@ -94,71 +125,85 @@ class History:
         )
         return per_record.where("first_rec_id is not null")
 
-    def append(self, hashed: DataFrame) -> None:
+    def append(self, hashed: DataFrame, folded: DataFrame | None = None) -> None:
         """Adds the hashes that the history lacks, written bucket by bucket."""
-        new = self._firsts(hashed).where("past_first is null").select("hash", "kind", F.col("own_first").alias("rec_id"))
-        writer = new.repartition(self.buckets, "hash").write.format("parquet").bucketBy(self.buckets, "hash").sortBy("hash").option("path", self.path)
-        writer.mode("append" if self.written else "overwrite").saveAsTable(self.name)
-        self.written = True
+        folded = self.folded(hashed) if folded is None else folded
+        if not self.written:
+            self._register()
+            self.written = True
+        folded.where("past_first is null").select("hash", "rec_id", "batch").repartition(self.buckets, "hash").write.insertInto(self.name)
+        self.spark.catalog.refreshTable(self.name)
 
+    def take(self, hashed: DataFrame, round_rows: int = ROUND_ROWS) -> DataFrame:
+        """Checks and then appends the batches of written signatures in turn, consecutive small ones in one round; the rows of all checks.
 
-# ---------------------------------------------------------------- addresses
+        The driver sees one number for each batch, never a record.
+        """
+        sizes = hashed.where(F.col("kind") == WHOLE).groupBy("batch").agg(F.count(F.lit(1)).alias("n")).orderBy("batch").collect()
+        rounds: list[list] = [[None, None, 0]]
+        for batch, n in sizes:
+            if rounds[-1][2] and rounds[-1][2] + n > round_rows:
+                rounds.append([batch, batch, n])
+            else:
+                rounds[-1] = [batch if rounds[-1][0] is None else rounds[-1][0], batch, rounds[-1][2] + n]
+        found = []
+        for lo, hi, _ in rounds:
+            of_round = hashed.where(F.col("batch").between(lo, hi)) if len(rounds) > 1 else hashed
+            folded = self.folded(of_round)
+            found.append(self.check(of_round, folded))
+            self.append(of_round, folded)
+        return reduce(DataFrame.unionByName, found)
 
-#: Parameters of an address that never say which item it leads to.
-TRACKING = r"utm_[a-z]+|sid|fbclid|gclid|ref|feature|lang|view|list|t|w|h|fmt|format|size|quality"
 
-#: Sites of the project's media: host, where the item's key stands (path or query), its pattern.
-SITES = (
-    ("stockpile", r"(?:^|\.)stockpile\.example$", "path", r"/(?:video|photo|image|video-files|photo-files)/(?:[^/]*-)?(\d+)(?:/|$)"),
-    ("filmlocker", r"(?:^|\.)filmlocker\.example$", "query", r"(?:^|&)(?:id|asset)=([^&]+)"),
-    ("agencywire", r"(?:^|\.)agencywire\.example$", "path", r"/(?:media/|item/|[^/]*-)([0-9a-f]{8})(?:/|$)"),
-    ("tubethumb", r"(?:^|\.)tubethumb\.example$", "query", r"(?:^|&)v=([^&]+)"),
-    ("tubethumb", r"(?:^|\.)tubethumb\.example$", "path", r"/(?:embed|vi|v|shorts|live)/([^/]+)"),
-    ("tubethumb", r"(?:^|\.)tbth\.example$", "path", r"^/([^/]+)"),
-    ("openarchive", r"^upload\.openarchive\.example$", "path", r"^/(?:thumb/)?[^/]+/[^/]+/([^/]+)"),
-    ("openarchive", r"(?:^|\.)openarchive\.example$", "path", r"/[Ff]ile:([^/]+)"),
-    ("openarchive", r"(?:^|\.)openarchive\.example$", "query", r"(?:^|&)title=[Ff]ile:([^&]+)"),
-)
+# ---------------------------------------------------------------- addresses
+
+#: Parameters that tell a visit or a click, by public convention; never the identity of a page.
+VISITS = r"utm_[a-z]+|sid|sessionid|phpsessid|jsessionid|fbclid|gclid|msclkid|dclid"
+#: Parameters and folders whose value or next piece names the item, by public convention.
+NAMED, NAMED_AFTER = r"(?:^|&)(?:id|v|vid|asset|item)=([^&]+)", r"(?:^|/)(?:embed|v|vi|shorts|live|item|media)/([^/]+)"
+#: A media file; it is an identity if its name has a digit or several words.
+FILE = r"(?i)(?:^|/)((?:[^/]*\d|[^/]+[ _-])[^/]*\.(?:jpe?g|png|gif|webp|tiff?|svg|bmp|mp4|m4v|mov|webm|mkv|avi|ogv|mp3|wav|ogg|pdf))(?=/|$)"
+#: A token of mixed letters that is an identity anywhere; a number or hexadecimal token and a mixed token that are one within their site.
+OPAQUE = r"(?:^|/)((?=[^/]*[a-z0-9][A-Z]|[^/]*[A-Z]{2}[a-z])[A-Za-z0-9]{11,}|(?=[^/]*[a-z][A-Z])[A-Za-z0-9_-]{11,})(?=/|$)"
+NUMBER = r"(?<![^/-])(\d{6,}|[0-9a-f]{8,})(?=[/-]|$|\.[A-Za-z0-9]{2,4}(?:/|$))"
+MIXED = r"(?:^|/)((?=[^/]*\d)(?=[^/]*[A-Za-z])[A-Za-z0-9]{8,})(?=/|$)"
 
 
 def _decoded(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
 
 
-def with_address_key(df: DataFrame, address: str, out: str, sites: tuple = SITES) -> DataFrame:
+def with_address_key(df: DataFrame, address: str, out: str) -> DataFrame:
     """Adds ``out``, the item that an address leads to, whatever its spelling; null for none.
 
-    Addresses of the known sites give the site's own item key, which their
-    pages, files, mirrors, short, mobile and sized forms share. Any other
-    address is folded: scheme, ``www``/``m``/``amp`` prefixes, port, doubled
-    slashes, closing slash, fragment and tracking parameters do not count.
-
-    Host, path and query are projected first, so that they are taken apart once
-    for all rules; only rules of the address's own host are tried.
+    No site is known by name. An address is folded (scheme, port, letter case of
+    the host, percent signs, doubled slashes, fragment and parameters of visits do
+    not count) and its strongest identity is taken: a token of mixed letters of
+    eleven characters and more, which means the same on every host (short
+    addresses, embedding pages); else, within the site (the registered domain, so
+    that mirrors and mobile hosts agree), the longest number of six digits or
+    hexadecimal token of eight, what stands where items are named by convention
+    (``?id=``, ``/embed/``), a mixed token, or the name of a media file without the
+    prefix of its size; else the whole folded address.
     """
     rows = df.withColumn("__bare", F.regexp_replace(F.regexp_replace(F.col(f"`{address}`"), r"^[\s\x{A0}]*(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//)?|#.*$", ""), r"[\s\x{A0}]+$", ""))
     rows = rows.withColumns(
         {
             "__host": F.regexp_replace(F.lower(F.regexp_extract("__bare", r"^([^/?]*)", 1)), r"^[^@]*@|:\d+$|\.$", ""),
             "__path": F.regexp_replace(_decoded(F.regexp_extract("__bare", r"^[^/?]*([^?]*)", 1)), r"/+", "/"),
-            "__query": _decoded(F.regexp_extract("__bare", r"\?(.*)$", 1)),
+            "__query": F.regexp_replace(F.regexp_extract("__bare", r"\?(.*)$", 1), rf"(?i)(?:^|(?<=&))(?:{VISITS})(?:=[^&]*)?(?:&|$)|&(?=&|$)", ""),
         }
     ).drop("__bare")
-    host, path, query = F.col("__host"), F.col("__path"), F.col("__query")
-    found = None
-    for at_host in dict.fromkeys(h for _, h, _, _ in sites):
-        keys = []
-        for site, own_host, where, pattern in sites:
-            if own_host != at_host:
-                continue
-            key = F.nullif(F.regexp_extract(path if where == "path" else query, pattern, 1), F.lit(""))
-            if site == "openarchive":
-                key = F.replace(key, F.lit(" "), F.lit("_"))
-                key = F.concat(F.upper(F.substring(key, 1, 1)), F.substring(key, 2, 1_000_000))
-            keys.append(F.concat(F.lit(f"{site}:"), key))
-        fits = host.rlike(at_host)
-        found = F.when(fits, F.coalesce(*keys)) if found is None else found.when(fits, F.coalesce(*keys))
-    kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike(rf"^(?:{TRACKING})(?:=|$)"))), "&")
-    plain = F.concat(F.regexp_replace(host, r"^(?:www|m|amp|mobile)\.", ""), F.regexp_replace(path, r"/$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
-    rows = rows.withColumn("__item", found) if found is not None else rows.withColumn("__item", F.lit(None).cast("string"))
-    return rows.withColumn(out, F.when(host != "", F.coalesce("__item", plain))).drop("__host", "__path", "__query", "__item")
+    rows = rows.withColumn("__text", F.when(F.col("__query") == "", F.col("__path")).otherwise(F.concat("__path", _decoded(F.regexp_replace("__query", r"(?:^|&)[^=&]*=?", "/")))))
+    part = lambda c, pattern: F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
+    two = F.substring_index("__host", ".", -2)
+    site = F.when(two.rlike(r"^(?:com?|org|net|gov|ac|edu)\.[a-z]{2}$"), F.substring_index("__host", ".", -3)).otherwise(two)
+    within = lambda c: F.concat(site, F.lit(" "), c)
+    longest = F.array_max(F.transform(F.regexp_extract_all("__text", F.lit(NUMBER), F.lit(1)), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    file = F.regexp_replace(F.regexp_replace(part("__text", FILE), r"^.*:|^\d+px-", ""), r"[ _]+", "_")
+    plain = F.concat(
+        F.regexp_replace("__host", r"^(?:www|m|amp|mobile)\.", ""), F.regexp_replace("__path", r"/$", ""),
+        F.when(F.col("__query") != "", F.concat(F.lit("?"), F.array_join(F.array_sort(F.split(_decoded(F.col("__query")), "&")), "&"))).otherwise(F.lit("")),
+    )
+    key = F.coalesce(part("__text", OPAQUE), within(longest), within(_decoded(part("__query", NAMED))), within(part("__path", NAMED_AFTER)), within(part("__text", MIXED)), within(file), plain)
+    return rows.withColumn(out, F.when(F.col("__host") != "", key)).drop("__host", "__path", "__query", "__text")

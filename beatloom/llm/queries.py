@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beatloom.llm import canonical, contamination, history, language, spans, tokenizer, truncation
@@ -31,26 +31,23 @@ def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ 3: history
 
 
-def _address_parts(df: DataFrame, *columns: str) -> DataFrame:
-    rows = df.select("rec_id", *columns)
+def _addresses(df: DataFrame, batch: Column, *columns: str) -> DataFrame:
+    rows = df.select("rec_id", batch.alias("batch_number"), *columns)
     for c in columns:
         rows = history.with_address_key(rows, c, f"{c}_key")
-    return history.written(history.signatures(rows, "rec_id", F.array(*[F.col(f"{c}_key") for c in columns])))
+    return history.written(history.signatures(rows, "rec_id", F.array(*[F.col(f"{c}_key") for c in columns]), F.col("batch_number")))
 
 
 def _batches_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The library and then all batches, each checked against what was accepted before it."""
-    library = _address_parts(table(spark, sf_dir, "clip_entries"), "source_url")
-    batches = _address_parts(table(spark, sf_dir, "scraped_assets"), "source_url", "download_url")
+    """The library and then the batches in turn, each checked against what was accepted before it and then appended."""
     past = history.History(spark)
-    within_library = past.check(library)
-    past.append(library)
-    found = past.check(batches)
+    within_library = past.take(_addresses(table(spark, sf_dir, "clip_entries"), F.lit(0), "source_url"))
+    found = past.take(_addresses(table(spark, sf_dir, "scraped_assets"), F.col("batch_no"), "source_url", "download_url"))
     return within_library.unionByName(found)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records whose media item was accepted before, with the first record of the item."""
+    """Records whose media item was accepted before, with the first record of the item. The batches are taken while the query is built."""
     return _batches_checked(spark, sf_dir).select("first_rec_id", "rec_id")
 
 
@@ -60,6 +57,13 @@ def p3_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("full_copy", "n_parts", "n_shared").agg(F.count(F.lit(1)).alias("n_records"))
 
 
+def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that repeat paragraphs of documents of smaller id: full copies, and how many of the paragraphs were known."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", history.paragraphs(F.col("text")).alias("parts"))
+    found = history.History(spark).take(history.written(history.signatures(documents, "doc_id", F.col("parts"))))
+    return found.select(F.col("rec_id").alias("doc_id"), F.col("first_rec_id").alias("first_doc_id"), "full_copy", "n_parts", "n_shared")
+
+
 # ---------------------------------------------------------------- 6: canonical
 
 
@@ -162,7 +166,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_segments, p3_found, p3_coverage, p6_found, p6_unmatched, p7_found, p7_rates, p7_limits,
+        p2_found, p2_segments, p3_found, p3_coverage, p3_paragraphs, p6_found, p6_unmatched, p7_found, p7_rates, p7_limits,
         p8_ids, p8_lengths, p9_found, p9_items, p9_reparameterised, p10_found, p10_spans, p10_shares,
     )
 }
@@ -198,6 +202,15 @@ _SHARED = r"""WITH windows AS (
 ORACLES = {
     "p3_found": f"""WITH {_ITEMS}, firsts AS (SELECT item, min(rec_id) AS first_rec_id FROM items GROUP BY item)
 SELECT min(f.first_rec_id) AS first_rec_id, i.rec_id FROM items i JOIN firsts f USING (item) WHERE f.first_rec_id < i.rec_id GROUP BY i.rec_id""",
+    "p3_paragraphs": r"""WITH parts AS (
+  SELECT DISTINCT doc_id, lower(trim(regexp_replace(p, '\s+', ' ', 'g'))) AS p FROM (SELECT doc_id, unnest(string_split_regex(text, '\n\s*\n')) AS p FROM documents) t WHERE trim(regexp_replace(p, '\s+', ' ', 'g')) <> ''
+), wholes AS (
+  SELECT doc_id, string_agg(p, chr(31) ORDER BY p) AS w, count(*) AS n_parts FROM parts GROUP BY doc_id
+), marked AS (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY p) AS first FROM parts
+), shared AS (
+  SELECT doc_id, min(first) AS first_doc_id, count(*) AS n_shared FROM marked WHERE first < doc_id GROUP BY doc_id
+) SELECT doc_id, first_doc_id, f < doc_id AS full_copy, n_parts, n_shared FROM (SELECT doc_id, n_parts, min(doc_id) OVER (PARTITION BY w) AS f FROM wholes) x JOIN shared USING (doc_id)""",
     "p9_found": _LEAKS,
     "p10_found": _SHARED,
 }

@@ -105,3 +105,62 @@ def test_query(spark, duck, sf_dir, name):
     from conftest import same_rows
 
     same_rows(entry.queries()[name](spark, sf_dir), duck.execute(entry.oracle_sql()[name]))
+
+
+def test_general_folding(spark):
+    """Identities of sites never seen before: short and embedded forms, numbers, named parameters, media files."""
+    same = [
+        ["https://films.one.example/watch?v=aB3dE6gH9jK", "https://sh.ort/aB3dE6gH9jK?utm_source=x", "http://www.films.one.example/embed/aB3dE6gH9jK"],
+        ["https://pics.example/photo/harbour-view-88412345/", "https://cdn.pics.example/88412345/88412345-large.jpg?w=640"],
+        ["https://news.co.uk/item/lamp", "http://m.news.co.uk/x?id=lamp&sid=9"],
+        ["https://wiki.example/File:Old_pier_7.jpg", "https://up.wiki.example/a/ab/Old%20pier%207.jpg", "https://up.wiki.example/thumb/a/ab/Old_pier_7.jpg/320px-Old_pier_7.jpg"],
+    ]
+    other = ["https://films.one.example/watch?v=aB3dE6gH9jL", "https://other.example/photo/88412345", "https://news.co.uk/item/lamps", "https://bbc.co.uk/item/lamp", "https://wiki.example/File:Old_pier_8.jpg", "https://films.one.example/list/master.mov", "https://films.one.example/mix/master.mov"]
+    found = [set(keys(spark, g)) for g in same]
+    assert all(len(s) == 1 and None not in s for s in found), found
+    rest = keys(spark, other)
+    assert len({*rest} | set.union(*found)) == len(other) + len(same)
+
+
+def test_history_is_not_shuffled(spark):
+    """Only the folded batch moves: above the scan of the history no exchange stands, with broadcasts off as at scale."""
+    past = H.History(spark, 8)
+    past.append(records(spark, BATCHES[0]))
+    hashed = H.written(records(spark, BATCHES[1]))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        lines = past.known(hashed)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    scan = next(i for i, line in enumerate(lines) if past.name in line)
+    assert "ShuffledHashJoin" in lines[0] and "LeftSemi" in lines[0] and not any("Exchange" in line or "Sort" in line for line in lines[:scan])
+
+
+def test_named_history_is_opened_again(spark, tmp_path):
+    past = H.History(spark, 4, name="media", folder=f"file://{tmp_path}")
+    past.append(records(spark, BATCHES[0]))
+    again = H.History(spark, 9, name="media", folder=f"file://{tmp_path}")
+    assert again.written and again.buckets == 4 and again.rows().count() == past.rows().count()
+    found = {(r["first_rec_id"], r["rec_id"]) for r in again.check(records(spark, BATCHES[1])).collect()}
+    assert found == {(2, 6), (7, 8)}
+
+
+def test_rounds_equal_one_backlog(spark):
+    rows = [(i, a, b, n) for n, batch in enumerate(BATCHES) for i, a, b in batch]
+    df = spark.createDataFrame(rows, "rec_id bigint, a string, b string, batch_no int")
+    hashed = H.written(H.signatures(df, "rec_id", F.array("a", "b"), F.col("batch_no")))
+    for round_rows in (1, 5, 1_000_000):
+        past = H.History(spark, 4)
+        assert {(r["first_rec_id"], r["rec_id"]) for r in past.take(hashed, round_rows).collect()} == model(BATCHES), round_rows
+        assert past.rows().select("hash").distinct().count() == past.rows().count()
+    assert {(r["batch"]) for r in past.rows().collect()} == {0, 1, 2, 3}
+
+
+def test_hot_hash_is_spread(spark):
+    """One address in a third of all records."""
+    df = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"u{i}") for i in range(3000)], "rec_id bigint, a string")
+    rows = H.History(spark, 4).check(H.signatures(df, "rec_id", F.array("a"))).collect()
+    assert len(rows) == 999 and {r["first_rec_id"] for r in rows} == {0}
