@@ -80,11 +80,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed values that mean no reference entry, with the number of their occurrences."""
-    items = _typed_entities(spark, sf_dir).where("regexp_replace(value, '[\\\\s\\\\x{A0}]+', '') <> ''").groupBy("value").agg(F.count(F.lit(1)).alias("n_items"))
     reference = table(spark, sf_dir, "entity_reference")
-    mapped = canonical.mapped_values(items, reference, "entity_id", "name").where("entity_id >= 0")
-    names = reference.select(F.col("name").alias("value"))
-    return items.join(names, "value", "left_anti").join(mapped, "value", "left_anti").select("value", "n_items")
+    values = canonical.counted(canonical.cases(_typed_entities(spark, sf_dir), reference))
+    mapped = canonical.mapped_values(values, reference, "entity_id", "name").where("entity_id >= 0")
+    return values.join(mapped, "value", "left_anti").select("value", "n_items")
+
+
+def p6_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By which form of the value and at which distance the entries were met."""
+    reference = table(spark, sf_dir, "entity_reference")
+    values = canonical.counted(canonical.cases(_typed_entities(spark, sf_dir), reference))
+    mapped = canonical.mapped_values(values, reference, "entity_id", "name").where("entity_id >= 0")
+    return values.join(mapped, "value").groupBy("route", "distance").agg(F.count(F.lit(1)).alias("n_values"), F.sum("n_items").alias("n_items"))
 
 
 # --------------------------------------------------------------- 7: truncation
@@ -166,7 +173,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_segments, p3_found, p3_coverage, p3_paragraphs, p6_found, p6_unmatched, p7_found, p7_rates, p7_limits,
+        p2_found, p2_segments, p3_found, p3_coverage, p3_paragraphs, p6_found, p6_unmatched, p6_routes, p7_found, p7_rates, p7_limits,
         p8_ids, p8_lengths, p9_found, p9_items, p9_reparameterised, p10_found, p10_spans, p10_shares,
     )
 }
