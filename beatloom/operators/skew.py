@@ -22,11 +22,12 @@ HOT_SHARE = 1000
 SALTS = 64
 
 
-def joined_unique(rows: DataFrame, unique: DataFrame, key: str, weight: str) -> DataFrame:
+def joined_unique(rows: DataFrame, unique: DataFrame, key: str | list[str], weight: str) -> DataFrame:
     """Inner join of ``rows`` with ``unique`` on ``key``; ``unique`` has one row for each key and the number of its rows in ``weight``."""
+    keys = [key] if isinstance(key, str) else key
     total = unique.agg(F.sum(weight).alias("_total"))
     marked = unique.join(F.broadcast(total), F.lit(True)).withColumn("_hot", F.col(weight) * HOT_SHARE > F.col("_total")).drop("_total")
-    hot = marked.where("_hot").select(key, F.lit(SALTS).alias("_salts"))
-    salted = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALTS))).otherwise(0).cast("int")).drop("_salts")
+    hot = marked.where("_hot").select(*keys, F.lit(SALTS).alias("_salts"))
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALTS))).otherwise(0).cast("int")).drop("_salts")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return salted.join(marked.withColumn("_salt", F.explode(copies)).drop("_hot"), [key, "_salt"]).drop("_salt")
+    return salted.join(marked.withColumn("_salt", F.explode(copies)).drop("_hot"), [*keys, "_salt"]).drop("_salt")
