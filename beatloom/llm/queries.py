@@ -165,6 +165,11 @@ def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(table(spark, sf_dir, "documents"))
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the class of its exact copies and the number of classes that share a span with it."""
+    return spans.linked_classes(table(spark, sf_dir, "documents"))
+
+
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document is shared elsewhere."""
     return spans.shares(table(spark, sf_dir, "documents"))
@@ -174,7 +179,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_segments, p3_found, p3_coverage, p3_paragraphs, p6_found, p6_unmatched, p6_routes, p7_found, p7_rates, p7_limits,
-        p8_ids, p8_lengths, p9_found, p9_items, p9_reparameterised, p10_found, p10_spans, p10_shares,
+        p8_ids, p8_lengths, p9_found, p9_items, p9_reparameterised, p10_found, p10_classes, p10_spans, p10_shares,
     )
 }
 

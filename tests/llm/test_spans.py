@@ -56,7 +56,7 @@ def test_pairs(spark):
 def test_shares(spark):
     docs = corpus()
     rows = {r["doc_id"]: r["n_shared"] for r in S.shares(frame(spark, docs)).collect()}
-    assert rows == shared(docs)
+    assert rows == {d: 0 for d, _ in docs} | shared(docs)
 
 
 def test_many_copies(spark):
@@ -64,7 +64,36 @@ def test_many_copies(spark):
     base = text(rng, 600)
     docs = [(i, base) for i in range(40)] + [(i, text(rng, 500)) for i in range(100, 110)]
     assert S.shared_pairs(frame(spark, docs)).count() == 40 * 39 // 2
-    assert {r["n_shared"] for r in S.shares(frame(spark, docs)).collect()} == {600}
+    assert {(r["n_shared"], r["share"]) for r in S.shares(frame(spark, docs)).collect()} == {(600, 1.0), (0, 0.0)}
+    assert {(r["class_id"], r["n_copies"], r["n_links"]) for r in S.linked_classes(frame(spark, docs)).where("doc_id < 100").collect()} == {(0, 40, 0)}
+
+
+def test_links(spark):
+    docs = corpus()
+    pairs, texts = brute(docs), dict(docs)
+    rows = {r["doc_id"]: r for r in S.linked_classes(frame(spark, docs)).collect()}
+    for d, r in rows.items():
+        linked = {texts[b if a == d else a] for a, b in pairs if d in (a, b)} - {texts[d]}
+        assert r["n_links"] == len(linked) and r["class_id"] == min(x for x, t in docs if t == texts[d])
+
+
+def test_blocks_of_surroundings(spark, monkeypatch):
+    """A hash with more surroundings than one task pairs."""
+    monkeypatch.setattr(S, "BLOCK", 3)
+    rng = random.Random(3)
+    passage = text(rng, 330)
+    docs = [(i, text(rng, 30 + i) + passage[: 320 + i % 11] + text(rng, 40)) for i in range(24)]
+    got = {(r["doc_id_a"], r["doc_id_b"]) for r in S.shared_pairs(frame(spark, docs)).collect()}
+    assert got == brute(docs)
+
+
+def test_one_passage_in_ten_thousand_texts(spark):
+    """The shares of a passage that very many texts hold: no pairs are formed."""
+    rng = random.Random(8)
+    passage = text(rng, 400)
+    df = spark.range(10_000).selectExpr("id as doc_id", f"concat(repeat(md5(string(id)), 3), '{passage}', repeat(sha2(string(id), 256), 2)) as text")
+    rows = S.shares(df).groupBy("n_shared").count().collect()
+    assert sum(r["count"] for r in rows) == 10_000 and all(400 <= r["n_shared"] < 420 for r in rows)
 
 
 def test_slabs_lose_nothing(monkeypatch):
