@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from beatloom.operators.skew import joined_unique
 from beatloom.session import written
 
-#: Length of a shared span, and of the windows hashed for finding it.
-SPAN, WINDOW = 320, 256
+#: Length of a shared span, and of the windows hashed for finding it (shorter windows: fewer hashes kept, more chance meetings).
+SPAN, WINDOW = 320, 192
 #: Code points hashed at a time; a bound of memory only.
 SLAB = 1 << 20
 #: Classes of surroundings that one task pairs with each other.
@@ -92,11 +92,13 @@ def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
     return pick(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def winnowed(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Mask of the hashes that are the least of some ``width`` neighbours."""
+def winnowed(hashes: np.ndarray, width: int, runs: np.ndarray | None = None) -> np.ndarray:
+    """Mask of the hashes that are the least of some ``width`` neighbours; ``runs`` tells which runs count, by their first place."""
     if len(hashes) < width:
         return np.zeros(len(hashes), bool)
     least = _sliding(hashes, width, True)
+    if runs is not None:
+        least[~runs] = 0
     edge = np.zeros(width - 1, np.uint64)
     return _sliding(np.concatenate([edge, least, edge]), width, False) == hashes
 
@@ -120,7 +122,8 @@ def placed_fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.nd
             owner = np.searchsorted(ends, begin, side="right")
             valid = begin + WINDOW <= ends[owner]
             hashes[~valid] = _FULL
-            chosen = np.nonzero(winnowed(hashes, width) & valid)[0]
+            runs = (begin + SPAN <= ends[owner])[: max(0, len(begin) - width + 1)]  # those within one text
+            chosen = np.nonzero(winnowed(hashes, width, runs) & valid)[0]
             kept.append(hashes[chosen])
             owners.append(owner[chosen])
             begins.append(begin[chosen])
