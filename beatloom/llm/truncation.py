@@ -2,10 +2,22 @@
 
 The length of every text is recomputed under several encodings (characters,
 UTF-8 bytes, UTF-16 units, HTML- and JSON-escaped, CRLF line ends) and counted
-for each source. A field limit shows as a length that far more texts reach
-than its neighbours. The endings then decide: a sentence without its stop, an
-ellipsis put on at a limit, or a list whose last item is the beginning of a
-known one. Everything is built-in SQL; vocabularies are counted over all rows.
+for each source. A field limit shows as a length that more texts reach than its
+neighbours let expect: a test of significance, alike for small and large sources.
+Limits and endings then decide together. Everything is built-in SQL;
+vocabularies are counted over all rows, and the taken-apart texts are written to
+the shared folder once.
+
+A sentence without its stop is cut
+
+* at a limit of its source, or if white space or a comma ends it;
+* after a finished sentence in the same text;
+* if its last word is the beginning of a known word but not one itself;
+* if its last two words never end a text, although they occur often enough for that,
+  or the last is an article, preposition or conjunction;
+* if it opens like finished sentences do (its first three words, names and numbers left out).
+
+Any other text without a stop is a complete phrase.
 
 Defined cases:
 
@@ -13,9 +25,10 @@ Defined cases:
   away from any limit), and complete titles, phrases and lists are not cut;
 * a text that ends in white space, a comma or a dangling separator is judged as what precedes it, and a
   sentence then is cut;
-* a list at a limit is cut unless its last item is a known whole item;
+* a list or title with several items is cut if its last item only begins a known
+  item, or at a limit unless the last item is a known whole one;
 * a one-word text of a spaced script is a title, never a cut sentence;
-* repeated rows are judged alike; empty tables give empty results.
+* repeated rows are judged alike; empty tables give empty results; other columns of any name do not matter.
 """
 
 from __future__ import annotations
@@ -25,8 +38,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A length is a limit if at least so many different texts reach it, and so many times the texts of a usual neighbouring length.
-LIMIT_LEAST, LIMIT_TIMES = 12, 8.0
+from beatloom.session import written
+
+#: A length is a limit if it has so many times the texts of a usual neighbouring length, and so much surprise (the logarithm
+#: of how much less likely its number of different texts is at the usual rate than at its own).
+LIMIT_TIMES, SURPRISE = 8.0, 12.0
 #: Neighbouring lengths on each side that a spike is held against.
 NEIGHBOURS = 12
 #: An ellipsis so far below a limit still came from cutting at it (white space is stripped before it is put on).
@@ -34,13 +50,26 @@ SLACK = 10
 #: A text of phrases of so few words between commas is a list if it starts in lower case or has so many of them.
 MAX_ITEM_WORDS, LIST_ITEMS = 4, 4
 
+#: Two words never end a text if so many ends were to be expected of them (by the share of last words) and there is none.
+EXPECTED_ENDS = 7.0
+#: Words that tell how a sentence opens.
+OPENING = 3
+
+# Articles, prepositions and conjunctions, which end no sentence.
+DANGLING = (
+    "the", "a", "an", "of", "to", "and", "or", "but", "in", "on", "at", "by", "for", "from", "with", "into", "than", "that", "which", "le", "la", "les", "un", "une", "des", "du", "de", "et", "ou", "mais", "dans", "sur", "par", "pour", "avec", "qui", "que",
+    "der", "die", "das", "den", "dem", "ein", "eine", "einen", "und", "oder", "aber", "von", "zu", "mit", "für", "auf", "im", "el", "los", "las", "una", "y", "o", "pero", "en", "por", "para", "con", "il", "lo", "gli", "uno", "di", "da", "per", "tra", "e", "ma",
+    "os", "as", "um", "uma", "do", "dos", "no", "na", "em", "mas", "и", "или", "но", "в", "на", "с", "из", "для", "к", "от", "по", "و", "في", "من", "إلى", "على", "और", "या", "में", "से", "का", "की", "के",
+)
+
 _STOP = "[.!?。！？।؟]"
 _CLOSE = "[\"”»’')\\]]*"
 _WHOLE = rf"{_STOP}{_CLOSE}$"
 _ELLIPSIS = rf"(?:…|\.\.\.){_CLOSE}$"
-_UNSPACED = r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{0900}-\x{097F}]"
+_UNSPACED = r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]"
 _TITLE = r"^[\p{Lu}\d'’.&;-]{2,}(?:\s|$)"
 _SEPARATORS = r"\s+[/|:—–-]\s+"
+_BETWEEN = r"[\s\"'“”«»‘’(),;:.!?…。！？।؟]+"
 
 
 def encodings(text: Column) -> dict[str, Column]:
@@ -70,7 +99,20 @@ def texts(df: DataFrame, table: str, key: str, source: str, text: str) -> DataFr
     title = F.col("core").rlike(_TITLE) & F.col("core").rlike(rf"{_SEPARATORS}|^[^\p{{Ll}}]+$") & ~F.col("core").rlike(rf"\p{{Ll}}{_STOP}\s+\p{{Lu}}")
     rows = rows.withColumn("shape", F.when(F.col("whole"), "whole").when(listed, "list").when(title, "title").otherwise("sentence"))
     pieces = F.when(F.col("shape") == "list", F.split("core", r",\s+")).when(F.col("shape") == "title", F.split("core", _SEPARATORS))
-    return rows.withColumn("items", pieces).withColumn("last_item", F.element_at("items", -1))
+    rows = rows.withColumns({"items": pieces, "words": F.filter(F.split("core", _BETWEEN), lambda w: w != "")})
+    general = lambda w: F.when(w.rlike(r"\p{Lu}|\d"), "*").otherwise(w)  # noqa: E731 - names and numbers fill the slots of an opening
+    spaced = F.concat_ws(" ", F.lower(F.get("words", F.lit(0))), F.concat_ws(" ", F.transform(F.slice("words", 2, OPENING - 1), general)))
+    return rows.withColumns(
+        {
+            "last_item": F.element_at("items", -1),
+            "last_word": F.get("words", F.size("words") - 1),
+            "pairs": F.zip_with(F.transform("words", general), F.transform(F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), general), lambda a, b: F.concat_ws(" ", a, b)),
+            "opening": F.when(F.col("shape").isin("whole", "sentence"), F.when(F.col("core").rlike(_UNSPACED), F.substring("core", 1, 2)).when(F.size("words") >= OPENING, spaced)),
+            "follows": F.col("core").rlike(rf"{_STOP}{_CLOSE}\s+\S|[。！？]{_CLOSE}\S"),
+            "breaks": F.col("stored").rlike(r"[\s\x{A0}]$") | F.col("core").rlike(r"[,，、]$"),
+            "n_words": F.size(F.split("core", r"\s+")),
+        }
+    )
 
 
 def limits(rows: DataFrame) -> DataFrame:
@@ -81,16 +123,17 @@ def limits(rows: DataFrame) -> DataFrame:
     counts = measured.groupBy("src_table", "source", "encoding", "at_length").agg(F.count(F.lit(1)).alias("n_texts"))
     near = Window.partitionBy("src_table", "source", "encoding").orderBy("at_length").rangeBetween(-NEIGHBOURS, NEIGHBOURS)
     usual = (F.sum("n_texts").over(near) - F.col("n_texts")) / F.lit(2.0 * NEIGHBOURS)
-    return counts.withColumn("n_usual", usual).where((F.col("n_texts") >= LIMIT_LEAST) & (F.col("n_texts") >= LIMIT_TIMES * F.greatest(F.col("n_usual"), F.lit(1.0))))
+    rate, n = F.greatest("n_usual", F.lit(1.0 / NEIGHBOURS)), F.col("n_texts")
+    return counts.withColumn("n_usual", usual).where((n >= LIMIT_TIMES * rate) & (n * F.log(n / rate) - (n - rate) >= SURPRISE))
 
 
-def _at_limit(rows: DataFrame) -> DataFrame:
-    """Adds ``at_limit`` and ``near_limit`` from the limits of the row's source.
+def _at_limit(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds ``at_limit`` and ``near_limit`` from the limits found for the row's source.
 
     The limits are an aggregate of one row for each source and spike: a handful,
     whatever the number of texts.
     """
-    per_source = limits(rows).groupBy("src_table", "source").agg(F.collect_set(F.struct("encoding", "at_length")).alias("spikes")).withColumnRenamed("src_table", "l_table").withColumnRenamed("source", "l_source")
+    per_source = found.groupBy("src_table", "source").agg(F.collect_set(F.struct("encoding", "at_length")).alias("spikes")).withColumnRenamed("src_table", "l_table").withColumnRenamed("source", "l_source")
     joined = rows.join(per_source, (F.col("src_table") == F.col("l_table")) & F.col("source").eqNullSafe(F.col("l_source")), "left")
     measured = encodings(F.col("stored"))
 
@@ -103,31 +146,57 @@ def _at_limit(rows: DataFrame) -> DataFrame:
     return joined.withColumns({"at_limit": within(0), "near_limit": within(SLACK)}).drop("spikes", "l_table", "l_source")
 
 
+def _beginnings(known: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """The values of column ``name`` of ``wanted`` that are the beginning of a longer known value.
+
+    Only beginnings of lengths that are wanted are formed; the lengths come as one row.
+    """
+    sizes = F.broadcast(wanted.agg(F.sort_array(F.collect_set(F.length(name))).alias("sizes")))
+    cut = known.join(sizes, F.lit(True)).select(F.explode(F.transform(F.filter("sizes", lambda k: k < F.length(name)), lambda k: F.substring(F.col(name), F.lit(1), k))).alias(name))
+    return cut.distinct().join(wanted.select(name).distinct(), name, "left_semi")
+
+
 def judged(rows: DataFrame) -> DataFrame:
-    """Adds ``cut`` to rows as from :func:`texts`."""
-    inner = rows.where("size(items) > 2").select(F.explode(F.slice("items", F.lit(2), F.size("items") - 2)).alias("item")).where("item <> ''")
-    known = inner.groupBy("item").agg(F.count(F.lit(1)).alias("n_seen"))
-    starts = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("item") - 1, F.lit(1))), lambda i: F.substring(F.col("item"), F.lit(1), i))).alias("start")).distinct()
-    words = rows.select(F.explode(F.slice(F.split("core", r"\s+"), F.lit(1), F.greatest(F.size(F.split("core", r"\s+")) - 1, F.lit(0)))).alias("word")).distinct()
-    ends = rows.where("not whole").select("last_item", F.element_at(F.split("core", r"\s+"), -1).alias("last_word"), "shape").distinct()
-    ends = ends.join(known.select(F.col("item").alias("last_item"), F.lit(True).alias("item_known")), "last_item", "left")
-    ends = ends.join(starts.select(F.col("start").alias("last_item"), F.lit(True).alias("item_starts")), "last_item", "left")
-    ends = ends.join(words.select(F.col("word").alias("last_word"), F.lit(True).alias("word_known")), "last_word", "left")
-    ends = ends.select(*[F.col(c).alias(f"e_{c}") for c in ("last_item", "last_word", "shape")], "item_known", "item_starts", "word_known")
-    marked = _at_limit(rows.where("not whole")).withColumn("last_word", F.element_at(F.split("core", r"\s+"), -1))
-    marked = marked.join(ends, F.col("last_item").eqNullSafe(F.col("e_last_item")) & (F.col("last_word") == F.col("e_last_word")) & (F.col("shape") == F.col("e_shape")))
-    has = lambda c: F.coalesce(F.col(c), F.lit(False))
-    n_words = F.size(F.split("core", r"\s+"))
-    trailing = F.col("stored").rlike(r"[\s\x{A0}]$")
-    unspaced = F.col("core").rlike(_UNSPACED)
-    phrase_cut = F.col("core").rlike(r"(?:,|\s[/|:—–-])$") | (~has("item_known") & (has("item_starts") | F.col("at_limit")) & (F.size("items") > 1))
-    sentence_cut = (n_words >= 3) | unspaced | ((n_words == 2) & (~has("word_known") | trailing))
+    """Adds ``cut`` to the unfinished ones of rows as from :func:`texts`; texts and limits are written while the query is built."""
+    rows = written(rows, "taken-apart")
+    unfinished = rows.where("not whole")
+    yes = F.lit(True)
+    inner = rows.where("size(items) > 2").select(F.explode(F.slice("items", F.lit(2), F.size("items") - 2)).alias("last_item")).where("last_item <> ''").distinct()
+    last_items = unfinished.where("last_item is not null").select("last_item").distinct()
+    item_starts = _beginnings(inner, last_items, "last_item").withColumn("item_starts", yes)
+
+    before_last = lambda c: F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))
+    vocabulary = rows.select(F.explode(before_last("words")).alias("last_word")).unionByName(rows.where("whole").select("last_word")).distinct()
+    broken_words = unfinished.where("last_word is not null").select("last_word").distinct().join(vocabulary, "last_word", "left_anti")
+    word_starts = _beginnings(vocabulary, broken_words, "last_word").withColumn("word_starts", yes)
+    words = broken_words.withColumn("word_unknown", yes).join(word_starts, "last_word", "left")
+
+    # the pairs of words end with a single last word, which is left out; whole texts end with the pair before it
+    last_pair = F.get("pairs", F.size("pairs") - 2)
+    inside = rows.where("whole").select(F.explode(F.slice("pairs", F.lit(1), F.greatest(F.size("pairs") - 2, F.lit(0)))).alias("last_pair")).groupBy("last_pair").agg(F.count(F.lit(1)).alias("n_inside"))
+    ends = rows.where("whole").select(last_pair.alias("last_pair")).distinct()
+    share = F.broadcast(rows.where("whole").agg((F.count(F.lit(1)) / F.greatest(F.sum(F.size("words")), F.lit(1))).alias("share")))
+    unfinished = unfinished.withColumn("last_pair", last_pair)
+    wanted = unfinished.where("last_pair <> '* *'").select("last_pair").distinct()  # two slots tell nothing
+    going_on = wanted.join(inside, "last_pair").join(share, yes).where(F.col("n_inside") * F.col("share") >= EXPECTED_ENDS).join(ends, "last_pair", "left_anti").select("last_pair", yes.alias("never_ends"))
+    openings = rows.where("whole and opening is not null").select("opening").distinct().withColumn("opens", yes)
+
+    keys = ["last_item", "last_word", "last_pair", "opening"]
+    kinds = unfinished.select(*keys).distinct().join(inner.withColumn("item_known", yes), "last_item", "left").join(item_starts, "last_item", "left").join(words, "last_word", "left").join(going_on, "last_pair", "left").join(openings, "opening", "left")
+    flags = ("item_known", "item_starts", "word_unknown", "word_starts", "never_ends", "opens")
+    kinds = kinds.select(*[F.col(c).alias(f"e_{c}") for c in keys], *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in flags])
+    same = [F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in keys]
+    marked = _at_limit(unfinished, written(limits(rows), "limits")).join(kinds, same).drop(*[f"e_{c}" for c in keys])
+    phrase_cut = F.col("core").rlike(r"(?:,|\s[/|:—–-])$") | (~F.col("item_known") & (F.col("item_starts") | F.col("at_limit")) & (F.size("items") > 1))
+    spoken = (F.col("n_words") >= 2) | F.col("core").rlike(_UNSPACED)
+    fragment = F.when(F.col("n_words") == 2, F.col("word_unknown")).otherwise(F.col("word_starts"))
+    sentence_cut = spoken & (F.col("at_limit") | F.col("breaks") | F.col("follows") | fragment | F.col("never_ends") | F.lower("last_word").isin(*DANGLING) | F.col("opens"))
     cut = F.when(F.col("ellipsis"), F.col("near_limit")).when(F.col("shape") == "sentence", sentence_cut).otherwise(phrase_cut)
-    return marked.withColumn("cut", cut)
+    return marked.withColumn("cut", F.coalesce(cut, F.lit(False)))
 
 
 def rates(rows: DataFrame) -> DataFrame:
-    """How often each source truncates: ``src_table, source, n_texts, n_cut, share_cut``."""
+    """How often each source truncates: ``src_table, source, n_texts, n_cut, share_cut``; one pass over the judged texts."""
     cut = judged(rows).where("cut").groupBy("src_table", "source").agg(F.count(F.lit(1)).alias("n_cut"))
     all_texts = rows.groupBy("src_table", "source").agg(F.count(F.lit(1)).alias("n_texts"))
     c = cut.select(F.col("src_table").alias("c_table"), F.col("source").alias("c_source"), "n_cut")

@@ -82,3 +82,50 @@ def test_encodings(spark):
     import json
 
     assert row == {"chars": len(text), "utf8": len(text.encode()), "utf16": len(text.encode("utf-16-le")) // 2, "html": len(html.escape(text)), "json": len(json.dumps(text)) - 2, "crlf": len(text) + 1}
+
+
+def test_complete_phrases_are_not_cut(spark):
+    """Phrases without a stop, alone in their sources and at no limit, beside a corpus of sentences."""
+    rows, cut = corpus()
+    phrases = ["Convoy near the bay", "Sunrise over Risven harbour", "Night trial at dawn", "Boats of the second team", "Three lamps by an old pier", "Ein Boot am Morgen", "Vue du port au matin"]
+    got = found(spark, rows + [(7000 + i, f"source {i}", p) for i, p in enumerate(phrases)])
+    assert got == cut
+
+
+def test_cut_away_from_any_limit(spark):
+    """Endings alone tell: a broken word, a dangling article, an unfinished second sentence, the opening of known sentences."""
+    rows, cut = corpus()
+    ends = ["Every engineer of the yard counted the lam", "Lanterns were sent to the", "The pier closed in 1988. Later the crew", "Nobody at the pier found the sealed crate under Zolburn"]
+    got = found(spark, rows + [(7000 + i, f"source {i}", p) for i, p in enumerate(ends)])
+    assert got == cut | {7000, 7001, 7002, 7003}
+
+
+def test_small_source_has_its_limit(spark):
+    """Six texts at one length are a limit in a small source as in a large one; texts of all lengths are none."""
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(99)) + "…" for _ in range(6)] + [sentence(rng)[: 20 + 3 * i] for i in range(12)]
+    limits = U.limits(run(spark, [(i, "small", t) for i, t in enumerate(texts)])).where("encoding = 'chars'").collect()
+    assert [(r["at_length"], r["n_texts"]) for r in limits] == [(100, 6)]
+
+
+def test_rates_and_limits_against_brute_force(spark):
+    import math
+    from collections import Counter, defaultdict
+
+    rows, cut = corpus()
+    rates = {r["source"]: (r["n_texts"], r["n_cut"], r["share_cut"]) for r in U.rates(run(spark, rows)).collect()}
+    for source in {s for _, s, _ in rows}:
+        own = [k for k, s, t in rows if s == source and t.strip()]
+        assert rates[source] == (len(own), len(cut.intersection(own)), round(len(cut.intersection(own)) / len(own), 6))
+    lengths = defaultdict(set)
+    for _, s, t in rows:
+        if not t.rstrip().endswith("."):
+            lengths[s].add(t)
+    want = set()
+    for s, texts in lengths.items():
+        counts = Counter(len(t.encode()) for t in texts)
+        for length, n in counts.items():
+            usual = max(sum(counts[k] for k in range(length - U.NEIGHBOURS, length + U.NEIGHBOURS + 1) if k != length) / (2 * U.NEIGHBOURS), 1 / U.NEIGHBOURS)
+            if n >= U.LIMIT_TIMES * usual and n * math.log(n / usual) - (n - usual) >= U.SURPRISE:
+                want.add((s, length, n))
+    assert {(r["source"], r["at_length"], r["n_texts"]) for r in U.limits(run(spark, rows)).where("encoding = 'utf8'").collect()} == want
