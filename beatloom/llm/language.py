@@ -15,7 +15,7 @@ Defined cases:
 
 * null and blank texts, and texts of names and digits only, have no segment;
 * a segment is a maximal run of sentences of one language; its confidence is
-  the posterior of that language under equal priors;
+  the posterior of that language, under equal priors, given all its words;
 * very short sentences are judged like any other, with a lower confidence;
 * a sentence without closing mark at the end of a text counts as one;
 * equal posteriors are settled by the order of ``LANGUAGES``;
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -48,6 +49,8 @@ NO_LABEL = ("", "und", "auto", "unknown", "none", "null", "n/a", "mul", "zxx")
 
 #: Labelled rows of each language that the model is fitted on, at most. A bound of the fit only; scoring covers all rows.
 SAMPLE_ROWS = 500
+#: Texts of the sample have at most so many characters, which bounds what the driver reads.
+SAMPLE_CHARS = 10_000
 #: Rounds of expectation maximisation, and the count added to every piece.
 ROUNDS, PRIOR = 3, 0.02
 #: Where the public byte-level vocabulary lies.
@@ -57,7 +60,9 @@ SEGMENTS = "array<struct<begin:int,end:int,lang:string,confidence:double>>"
 
 _SPLIT = regex.compile(r"[.!?؟।][\"'”»’)\]]*\s+|[。！？][」』”’)]*\s*|\n+")
 _WORD = regex.compile(r"[\p{Script=Latin}\p{M}'’]*\p{Script=Latin}[\p{Script=Latin}\p{M}\p{N}_-]*|\p{Script=Cyrillic}[\p{Script=Cyrillic}\p{M}]*|\p{Script=Arabic}[\p{Script=Arabic}\p{M}]*|\p{Script=Devanagari}[\p{Script=Devanagari}\p{M}]*|\p{Script=Hangul}+|\p{Script=Han}+|[\p{Script=Hiragana}\p{Script=Katakana}ー]+|\p{L}+")
-_PLAIN_WORD = regex.compile(r"(?<![\w'-])'?[a-z][a-z'-]*(?![A-Za-z0-9_])")
+# what the pattern above comes to if all characters are ASCII, several times faster
+_ASCII_WORD = re.compile(r"[A-Za-z']*[A-Za-z][A-Za-z0-9_-]*")
+_ASCII_COUNTS = re.compile(r"'*[a-z][A-Za-z'_-]*\Z")
 _LATIN = regex.compile(r"\p{Script=Latin}+")
 _OTHER = regex.compile(r"[^\P{L}\p{Script=Latin}]+")
 _DIGIT = regex.compile(r"\p{N}")
@@ -94,13 +99,14 @@ def words(sentence: str) -> list[str]:
     Capitalised Latin words do not count: they may be names, also where they
     open a sentence.
     """
+    sentence = sentence.replace("’", "'")
     if sentence.isascii():
-        return _PLAIN_WORD.findall(sentence)
+        return [w.lower() for w in _ASCII_WORD.findall(sentence) if _ASCII_COUNTS.match(w)]
     others = sum(map(len, _OTHER.findall(sentence)))
     foreign = others > 0 and others * 3 >= sum(map(len, _LATIN.findall(sentence)))
     out = []
     for w in _WORD.findall(sentence):
-        if _LATIN.search(w) and (foreign or w[0].isupper() or _DIGIT.search(w)):
+        if _LATIN.search(w) and (foreign or w.lstrip("'")[0].isupper() or _DIGIT.search(w)):
             continue
         out.append(w.lower())
     return out
@@ -114,7 +120,7 @@ class Model:
         self.longest = max(map(len, pieces))
         self.probabilities = np.exp(logs)
         self.cache: dict[str, np.ndarray] = {}
-        self.judged: dict[tuple[str, ...], tuple[str, float]] = {}
+        self.scored: dict[tuple[str, ...], np.ndarray] = {}
 
     def _spans(self, data: bytes) -> list[list[tuple[int, int]]]:
         """For each end, the (begin, piece) of the pieces that end there."""
@@ -138,37 +144,50 @@ class Model:
         self.cache[word] = out
         return out
 
-    def judge(self, sentence: str) -> tuple[str, float] | None:
-        """Language and confidence of a sentence, None if it has no words."""
+    def score(self, sentence: str) -> np.ndarray | None:
+        """Log probability of a sentence in each language, None if it has no words."""
         counted = tuple(words(sentence))
         if not counted:
             return None
-        if (known := self.judged.get(counted)) is not None:
+        if (known := self.scored.get(counted)) is not None:
             return known
-        score = sum(map(self.log_probability, counted))
-        best = int(score.argmax())
-        out = LANGUAGES[best], float(1.0 / np.exp(np.clip(score - score[best], -700, 0)).sum())
-        if len(self.judged) > 100_000:
-            self.judged.clear()
-        self.judged[counted] = out
+        out = sum(map(self.log_probability, counted))
+        if len(self.scored) > 100_000:
+            self.scored.clear()
+        self.scored[counted] = out
         return out
 
+    def judge(self, sentence: str) -> tuple[str, float] | None:
+        """Language and confidence of a sentence, None if it has no words."""
+        score = self.score(sentence)
+        return None if score is None else (LANGUAGES[int(score.argmax())], posterior(score))
+
     def segments(self, text: str | None) -> list[dict]:
         """Maximal runs of sentences of one language."""
         out: list[dict] = []
+        totals: list[np.ndarray] = []
         for a, b in sentences(text) if text else []:
-            if (found := self.judge(text[a:b])) is None:
+            if (score := self.score(text[a:b])) is None:
                 if out:
                     out[-1]["end"] = b
                 continue
-            if out and out[-1]["lang"] == found[0]:
+            lang = LANGUAGES[int(score.argmax())]
+            if out and out[-1]["lang"] == lang:
                 out[-1]["end"] = b
-                out[-1]["confidence"] = max(out[-1]["confidence"], found[1])
+                totals[-1] = totals[-1] + score
             else:
-                out.append({"begin": a if out else 0, "end": b, "lang": found[0], "confidence": found[1]})
+                out.append({"begin": a if out else 0, "end": b, "lang": lang})
+                totals.append(score)
+        for segment, total in zip(out, totals):
+            segment["confidence"] = posterior(total)
         return out
 
 
+def posterior(score: np.ndarray) -> float:
+    """Of the best language under equal priors."""
+    return float(1.0 / np.exp(np.clip(score - score.max(), -700, 0)).sum())
+
+
 def fit(labelled: list[tuple[str, str]], pieces: list[bytes]) -> np.ndarray:
     """Log probabilities (piece, language) from pairs of language and text.
 
@@ -212,10 +231,19 @@ def _fitted(labelled: list[tuple[str, str]], pieces: list[bytes], logs: np.ndarr
 
 
 def sample(df: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled texts of each language, the first by a hash of their key."""
-    named = df.select(label_code(F.col(f"`{label}`")).alias("lang"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{key}`").alias("h")).where(F.col("lang").isin(*LANGUAGES) & (F.trim("text") != ""))
+    """At most ``rows`` labelled texts of each language, the first by a hash of their key; read while the query is built.
+
+    The rows of each language are counted first; only those whose hash lies
+    below twice the share that is wanted are put in order.
+    """
+    named = df.select(label_code(F.col(f"`{label}`")).alias("lang"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{key}`").alias("h"))
+    named = named.where(F.col("lang").isin(*LANGUAGES) & (F.trim("text") != "") & (F.length("text") <= SAMPLE_CHARS))
+    sizes = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return []
+    limits = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min((1 << 63) - 1, int((1 << 64) * min(1.0, 2.0 * rows / n)) - (1 << 63)))])
     first = Window.partitionBy("lang").orderBy("h", "text")
-    chosen = named.withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows).orderBy("lang", "n")
+    chosen = named.where(F.col("h") <= limits[F.col("lang")]).withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows).orderBy("lang", "n")
     return [(r["lang"], r["text"]) for r in chosen.select("lang", "text").collect()]
 
 

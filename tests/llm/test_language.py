@@ -108,3 +108,48 @@ def test_held_out_accuracy(spark, sf_dir):
     rows = L.with_segments(held_out, "narration_verbatim", labelled).where("size(segments) > 0")
     agree = rows.select(F.avg(F.array_contains(F.transform("segments", lambda s: s["lang"]), L.label_code(F.col("lang"))).cast("double")).alias("a")).first()["a"]
     assert agree > 0.9
+
+
+def test_one_rule_of_words():
+    """A sentence counts the same words with a plain and with a typographic apostrophe, in ASCII and beside other letters."""
+    cases = {"Nobody didn't see Mk4 well-known boats' lamps iPhone": ["didn't", "see", "well-known", "boats", "lamps", "iphone"], "'tis the end 'Tis so": ["'tis", "the", "end", "so"]}
+    for sentence, want in cases.items():
+        assert L.words(sentence) == L.words(sentence.replace("'", "’")) == want
+        assert L.words(sentence + " é") == [*want, "é"]
+
+
+def test_confidence_is_the_posterior_of_the_whole_segment(model):
+    import numpy as np
+
+    text = "the boat. the lamps went dark. a patrol met it."
+    found = model.segments(text)
+    total = sum(model.score(text[a:b]) for a, b in L.sentences(text))
+    assert len(found) == 1 and np.isclose(found[0]["confidence"], 1 / np.exp(total - total.max()).sum())
+    weakest = min(model.judge(text[a:b])[1] for a, b in L.sentences(text))
+    assert found[0]["confidence"] > weakest
+
+
+def test_sample_is_bounded_and_by_hash(spark):
+    rows = [(i, "en" if i % 3 else "fr", f"text {i}") for i in range(3000)] + [(9001, "de", "x" * 20_000), (9002, "de", "kurz")]
+    df = spark.createDataFrame(rows, "row_id bigint, lang string, narration string")
+    got = L.sample(df, "row_id", "narration", "lang", 50)
+    assert {lang: sum(x == lang for x, _ in got) for lang in ("en", "fr", "de")} == {"en": 50, "fr": 50, "de": 1}
+    assert got == L.sample(df.repartition(7), "row_id", "narration", "lang", 50)
+
+
+def test_segments_of_mixed_texts_from_the_tables(spark, sf_dir):
+    """Held-out sentences of two languages set side by side: the border is found where it was put."""
+    from pyspark.sql import functions as F
+
+    beats = spark.read.parquet(f"{sf_dir}/beats.parquet").select("row_id", "lang", "narration_verbatim")
+    pieces = L.read_pieces()
+    model = L.Model(pieces, L.fit(L.sample(beats.where("row_id % 2 = 0"), "row_id", "narration_verbatim", "lang"), pieces))
+    rows = beats.where("row_id % 2 = 1").select(L.label_code(F.col("lang")).alias("l"), "narration_verbatim").where(F.col("l").isin(*L.LANGUAGES)).collect()
+    single = [(r["l"], r["narration_verbatim"].strip()) for r in rows if r["narration_verbatim"] and [s["lang"] for s in model.segments(r["narration_verbatim"])] == [r["l"]]]
+    right = total = 0
+    for (a, x), (b, y) in zip(single, single[1:]):
+        if a != b and L._SPLIT.search(x[-1] + " "):
+            found = model.segments(f"{x} {y}")
+            total += 1
+            right += [s["lang"] for s in found] == [a, b] and found[1]["begin"] in (len(x), len(x) + 1) and min(s["confidence"] for s in found) > 0.5
+    assert total > 20 and right / total > 0.95
