@@ -118,8 +118,9 @@ def texts(df: DataFrame, table: str, key: str, source: str, text: str) -> DataFr
 def limits(rows: DataFrame) -> DataFrame:
     """Spikes in the lengths of unfinished texts, repeated ones counted once: ``src_table, source, encoding, at_length, n_texts, n_usual``."""
     open_ended = rows.where("not whole")
-    lengths = F.create_map(*[x for name, c in encodings(F.col("stored")).items() for x in (F.lit(name), c)])
-    measured = open_ended.select("src_table", "source", F.explode(lengths).alias("encoding", "at_length"), F.xxhash64("stored").alias("text_hash")).distinct()
+    lengths = F.array(*[F.struct(F.lit(name).alias("encoding"), c.alias("at_length")) for name, c in encodings(F.col("stored")).items()])
+    once = open_ended.groupBy("src_table", "source", F.xxhash64("stored").alias("text_hash")).agg(F.first(lengths).alias("lengths"))
+    measured = once.select("src_table", "source", F.explode("lengths").alias("l")).select("src_table", "source", "l.encoding", "l.at_length")
     counts = measured.groupBy("src_table", "source", "encoding", "at_length").agg(F.count(F.lit(1)).alias("n_texts"))
     near = Window.partitionBy("src_table", "source", "encoding").orderBy("at_length").rangeBetween(-NEIGHBOURS, NEIGHBOURS)
     usual = (F.sum("n_texts").over(near) - F.col("n_texts")) / F.lit(2.0 * NEIGHBOURS)
@@ -153,40 +154,35 @@ def _beginnings(known: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
     """
     sizes = F.broadcast(wanted.agg(F.sort_array(F.collect_set(F.length(name))).alias("sizes")))
     cut = known.join(sizes, F.lit(True)).select(F.explode(F.transform(F.filter("sizes", lambda k: k < F.length(name)), lambda k: F.substring(F.col(name), F.lit(1), k))).alias(name))
-    return cut.distinct().join(wanted.select(name).distinct(), name, "left_semi")
+    return cut.join(wanted.select(name).distinct(), name, "left_semi").distinct()
 
 
 def judged(rows: DataFrame) -> DataFrame:
     """Adds ``cut`` to the unfinished ones of rows as from :func:`texts`; texts and limits are written while the query is built."""
     rows = written(rows, "taken-apart")
-    unfinished = rows.where("not whole")
-    yes = F.lit(True)
-    inner = rows.where("size(items) > 2").select(F.explode(F.slice("items", F.lit(2), F.size("items") - 2)).alias("last_item")).where("last_item <> ''").distinct()
-    last_items = unfinished.where("last_item is not null").select("last_item").distinct()
-    item_starts = _beginnings(inner, last_items, "last_item").withColumn("item_starts", yes)
-
-    before_last = lambda c: F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))
-    vocabulary = rows.select(F.explode(before_last("words")).alias("last_word")).unionByName(rows.where("whole").select("last_word")).distinct()
-    broken_words = unfinished.where("last_word is not null").select("last_word").distinct().join(vocabulary, "last_word", "left_anti")
-    word_starts = _beginnings(vocabulary, broken_words, "last_word").withColumn("word_starts", yes)
-    words = broken_words.withColumn("word_unknown", yes).join(word_starts, "last_word", "left")
-
+    whole = rows.where("whole")
     # the pairs of words end with a single last word, which is left out; whole texts end with the pair before it
     last_pair = F.get("pairs", F.size("pairs") - 2)
-    inside = rows.where("whole").select(F.explode(F.slice("pairs", F.lit(1), F.greatest(F.size("pairs") - 2, F.lit(0)))).alias("last_pair")).groupBy("last_pair").agg(F.count(F.lit(1)).alias("n_inside"))
-    ends = rows.where("whole").select(last_pair.alias("last_pair")).distinct()
-    share = F.broadcast(rows.where("whole").agg((F.count(F.lit(1)) / F.greatest(F.sum(F.size("words")), F.lit(1))).alias("share")))
-    unfinished = unfinished.withColumn("last_pair", last_pair)
-    wanted = unfinished.where("last_pair <> '* *'").select("last_pair").distinct()  # two slots tell nothing
-    going_on = wanted.join(inside, "last_pair").join(share, yes).where(F.col("n_inside") * F.col("share") >= EXPECTED_ENDS).join(ends, "last_pair", "left_anti").select("last_pair", yes.alias("never_ends"))
-    openings = rows.where("whole and opening is not null").select("opening").distinct().withColumn("opens", yes)
-
-    keys = ["last_item", "last_word", "last_pair", "opening"]
-    kinds = unfinished.select(*keys).distinct().join(inner.withColumn("item_known", yes), "last_item", "left").join(item_starts, "last_item", "left").join(words, "last_word", "left").join(going_on, "last_pair", "left").join(openings, "opening", "left")
-    flags = ("item_known", "item_starts", "word_unknown", "word_starts", "never_ends", "opens")
-    kinds = kinds.select(*[F.col(c).alias(f"e_{c}") for c in keys], *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in flags])
-    same = [F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in keys]
-    marked = _at_limit(unfinished, written(limits(rows), "limits")).join(kinds, same).drop(*[f"e_{c}" for c in keys])
+    unfinished = rows.where("not whole").withColumn("last_pair", last_pair)
+    before_last = lambda c, n: F.slice(c, F.lit(1), F.greatest(F.size(c) - n, F.lit(0)))
+    told = lambda df, key, what: df.select(F.col(key).alias("key"), F.lit(what).alias("what"))
+
+    items = rows.where("size(items) > 2").select(F.explode(F.slice("items", F.lit(2), F.size("items") - 2)).alias("last_item")).where("last_item <> ''").distinct()
+    item_starts = _beginnings(items, unfinished.where("last_item is not null"), "last_item")
+    vocabulary = rows.select(F.explode(before_last("words", 1)).alias("last_word")).unionByName(whole.select("last_word")).distinct()
+    unknown = written(unfinished.where("last_word is not null").select("last_word").distinct().join(vocabulary, "last_word", "left_anti"), "unknown-words")
+    inside = whole.select(F.explode(before_last("pairs", 2)).alias("last_pair")).groupBy("last_pair").agg(F.count(F.lit(1)).alias("n_inside"))
+    share = F.broadcast(whole.agg((F.count(F.lit(1)) / F.greatest(F.sum(F.size("words")), F.lit(1))).alias("share")))
+    often = inside.join(share, F.lit(True)).where((F.col("n_inside") * F.col("share") >= EXPECTED_ENDS) & (F.col("last_pair") != "* *"))  # two slots tell nothing
+    going_on = often.join(whole.select(last_pair.alias("last_pair")), "last_pair", "left_anti")
+    openings = whole.where("opening is not null").select("opening").distinct()
+    kinds = (told(items, "last_item", "item_known"), told(item_starts, "last_item", "item_starts"), told(unknown, "last_word", "word_unknown"), told(_beginnings(vocabulary, unknown, "last_word"), "last_word", "word_starts"), told(going_on, "last_pair", "never_ends"), told(openings, "opening", "opens"))
+    evidence = written(reduce(DataFrame.unionByName, kinds), "evidence")
+
+    marked = _at_limit(unfinished, written(limits(rows), "limits"))
+    for what, key in (("item_known", "last_item"), ("item_starts", "last_item"), ("word_unknown", "last_word"), ("word_starts", "last_word"), ("never_ends", "last_pair"), ("opens", "opening")):
+        found = evidence.where(F.col("what") == what).select(F.col("key").alias(key), F.lit(True).alias(what))
+        marked = marked.join(found, key, "left").withColumn(what, F.coalesce(what, F.lit(False)))
     phrase_cut = F.col("core").rlike(r"(?:,|\s[/|:—–-])$") | (~F.col("item_known") & (F.col("item_starts") | F.col("at_limit")) & (F.size("items") > 1))
     spoken = (F.col("n_words") >= 2) | F.col("core").rlike(_UNSPACED)
     fragment = F.when(F.col("n_words") == 2, F.col("word_unknown")).otherwise(F.col("word_starts"))
