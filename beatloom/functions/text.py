@@ -65,10 +65,14 @@ def speech_centis(n_words: Column) -> Column:
     return (n_words * 15 + 150).cast("bigint")
 
 
+def plain(text: Column) -> Column:
+    """A text of ASCII characters: other letters and digits become ``_``, any other character a blank."""
+    return F.regexp_replace(F.regexp_replace(text, r"[^\x00-\x7F\p{L}\p{N}]", " "), r"[^\x00-\x7F]", "_")
+
+
 def capitalised_runs(text: Column) -> Column:
     """Runs of capitalised ASCII words; a word with other letters is none."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"[^\x00-\x7F\p{L}\p{N}]", " "), r"[^\x00-\x7F]", "_")
-    return F.regexp_extract_all(plain, F.lit(rf"\b([A-Z][a-z]+(?:{BLANK}+[A-Z][a-z]+)*)\b"), F.lit(1))
+    return F.regexp_extract_all(plain(text), F.lit(rf"\b([A-Z][a-z]+(?:{BLANK}+[A-Z][a-z]+)*)\b"), F.lit(1))
 
 
 def entities(text: Column) -> Column:
@@ -78,6 +82,26 @@ def entities(text: Column) -> Column:
     return F.slice(F.array_distinct(F.concat(F.slice(capitalised_runs(text), 1, 5), known)), 1, 8)
 
 
+# Families of names that are entities in any language; letter case does not matter.
+FAMILIES = (
+    r"\b(?:Boxer|Bradley|M1 *Abrams|T-90|T-72|ASLAV|Patria *AMV|BMP[- ]?[0-9]|Stryker) *(?:CRV|APC|IFV| variants?)?\b",
+    r"\b(?:F-35[A-C]?|F-22|F-16|F/A-18|Su-[0-9]+|Rafale|Eurofighter|Typhoon)\b",
+    r"\b(?:AH-64 *Apache|CH-47 *Chinook|MH-60[RST]?|UH-60|Ka-52|Mi-24|Mi-8)\b",
+    r"\b(?:Aircraft *Carrier|Destroyer|Frigate|Submarine|LHD|LST)\b",
+    r"\b(?:Javelin|Stinger|HIMARS|Patriot|Iron *Dome|ATACMS|Tomahawk)\b",
+    r"\b(?:NATO|US Army|Australian Army|British Army|Ukrainian Armed Forces|Rheinmetall|Lockheed Martin|Boeing|BAE)\b",
+    r"\b(?:Exercise +[A-Za-z0-9_]+|RIMPAC|Talisman *Sabre|Trident *Juncture)\b",
+)
+#: Two capitalised words in a row; here letter case matters.
+PROPER = r"\b[A-Z][a-z]+ +[A-Z][a-z]+\b"
+
+
+def family_entities(text: Column) -> Column:
+    """Names of the known families and pairs of capitalised words, each once and trimmed, by family and place."""
+    found = [F.regexp_extract_all(plain(text), F.lit(f"({p})"), F.lit(1)) for p in (*[f"(?i){f}" for f in FAMILIES], PROPER)]
+    return F.array_distinct(F.transform(F.concat(*found), lambda e: F.trim(e)))
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -123,7 +147,7 @@ def topic(text: Column) -> Column:
     return F.when(text.isNotNull(), F.struct(subject.alias("topic"), found.alias("entities"), kind.alias("asset_type")))
 
 
-#: Steps of the cleaning for speech, in order: pattern and replacement.
+# Steps of the cleaning for speech, in order: pattern and replacement.
 CLEANING = (
     (r"\*{1,2}([^*]+)\*{1,2}", "$1"),
     (rf"#{{1,6}}{BLANK}+", ""),

@@ -39,11 +39,11 @@ def preflight(jobs: DataFrame, scripts: DataFrame, clues: DataFrame) -> DataFram
 def variants(checked: DataFrame) -> DataFrame:
     """``job_id, position, format_variant`` of the jobs to process: ready ones, then those with gaps, done ones passed over.
 
-    Positions run over the whole queue; they are numbered bucket by bucket.
+    Positions run over the whole queue; they are numbered range by range.
     """
     todo = checked.where((F.col("readiness") != "blocked") & (status(F.col("status")) != "done"))
     order = F.when(F.col("readiness") == "ready", 0).otherwise(1)
-    placed = numbered(todo.select("job_id", order.alias("_order")), [F.col("_order"), F.col("job_id")], F.concat(F.col("_order").cast("string"), F.substring("job_id", 1, 10)), "position")
+    placed = numbered(todo.select("job_id", order.alias("_order")), [F.col("_order"), F.col("job_id")], None, "position")
     return placed.select("job_id", F.col("position").cast("bigint").alias("position"), F.concat(F.lit("F"), (F.col("position") % 10 + 1).cast("string")).alias("format_variant"))
 
 
@@ -53,8 +53,9 @@ def stem(path: Column) -> Column:
 
 
 def title(file_stem: Column) -> Column:
-    """Title of a plain stem: underlines to blanks, words capitalised."""
-    return F.initcap(F.replace(file_stem, F.lit("_"), F.lit(" ")))
+    """Title of a stem: underlines to blanks, every run of letters capitalised (``mh60r`` is ``Mh60R``)."""
+    runs = F.regexp_extract_all(F.replace(file_stem, F.lit("_"), F.lit(" ")), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, F.lit(2), F.length(r))))), "")
 
 
 def paired(scripts: DataFrame, audio: DataFrame) -> DataFrame:
@@ -79,5 +80,5 @@ def as_json(jobs: DataFrame) -> DataFrame:
 def appended(jobs: DataFrame, new: DataFrame) -> DataFrame:
     """The queue with new jobs behind it, numbered on from its length as ``J001`` and so forth."""
     size = jobs.agg(F.count(F.lit(1)).alias("_n"))
-    added = numbered(new, [F.col("script_id"), F.col("title")], F.substring("script_id", 1, 10), "_i").join(F.broadcast(size), F.lit(True))
+    added = numbered(new, [F.col("script_id"), F.col("title")], None, "_i").join(F.broadcast(size), F.lit(True))
     return jobs.unionByName(added.withColumn("job_id", F.format_string("J%03d", F.col("_n") + F.col("_i"))).drop("_n", "_i"), allowMissingColumns=True)

@@ -240,6 +240,22 @@ def nodes(payloads: DataFrame, key: str = "raw_id", payload: str = "payload", ki
     return rows.select("raw_id", F.monotonically_increasing_id().alias("copy"), "payload").mapInArrow(walk, NODE_SCHEMA)
 
 
+def beat_objects(payloads: DataFrame, key: str = "raw_id", payload: str = "payload") -> DataFrame:
+    """``raw_id, beat_pos, beat``: each beat of every complete payload as a JSON text of its own."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                parsed = ((i, parse_payload(text)) for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+                rows = [(i, b, json.dumps(beat, ensure_ascii=False)) for i, root in parsed if root is not None for b, beat in enumerate(beats_of(root))]
+                ids, places, texts = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(texts, pa.string())], names=["raw_id", "beat_pos", "beat"])
+
+    rows = payloads.select(F.col(f"`{key}`").cast("bigint").alias("raw_id"), F.col(f"`{payload}`").alias("payload")).where("raw_id is not null and payload is not null")
+    return rows.mapInArrow(walk, "raw_id bigint, beat_pos bigint, beat string")
+
+
 def beat_table(node_rows: DataFrame) -> DataFrame:
     """One row for each beat: ``raw_id, copy, beat_pos, beat_id, pre, post``."""
     return node_rows.where("kind = 'beat'").select("raw_id", "copy", F.col("pos").alias("beat_pos"), F.col("value").alias("beat_id"), "pre", "post")

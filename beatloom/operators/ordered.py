@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from beatloom.session import written
+
 
 def _buckets(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
     return df.withColumn("_bucket", F.coalesce(bucket.cast("bigint"), F.lit(-(1 << 62))))
@@ -27,13 +29,22 @@ def running_total(df: DataFrame, keys: list[str], order: list[Column], bucket: C
     return joined.withColumn(out, F.col("_carried") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).drop("_bucket", "_value", "_carried")
 
 
-def numbered(df: DataFrame, order: list[Column], bucket: Column, out: str) -> DataFrame:
-    """Adds ``out``, the number of each row from 1 over the whole table."""
-    rows = df.withColumn("_bucket", bucket)
+def numbered(df: DataFrame, order: list[Column], bucket: Column | None, out: str) -> DataFrame:
+    """Adds ``out``, the number of each row from 1 over the whole table.
+
+    Without a bucket the rows are split by ranges of their order and written to
+    the shared folder while the query is built, so that every later look at
+    them sees the same ranges; the windows see a range or one row for each.
+    """
+    if bucket is None:
+        rows = written(df.select("*", *[c.alias(f"_order{i}") for i, c in enumerate(order)]).repartitionByRange(*[f"_order{i}" for i in range(len(order))]).withColumn("_bucket", F.spark_partition_id()), "numbered")
+        order = [F.col(f"_order{i}") for i in range(len(order))]
+    else:
+        rows = df.withColumn("_bucket", bucket)
     along = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_carried"))
     inside = Window.partitionBy("_bucket").orderBy(*order)
-    return rows.join(sizes, "_bucket").withColumn(out, F.col("_carried") + F.row_number().over(inside)).drop("_bucket", "_carried")
+    return rows.join(sizes, "_bucket").withColumn(out, F.col("_carried") + F.row_number().over(inside)).select(*df.columns, out)
 
 
 def lagged(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, values: dict[str, Column]) -> DataFrame:

@@ -14,7 +14,7 @@ BEATS_A_BUCKET = 1000
 GAP = 30
 
 
-def _beat_bucket() -> Column:
+def beat_bucket() -> Column:
     return F.floor(F.coalesce(F.col("beat_number"), F.lit(-1)) / F.lit(BEATS_A_BUCKET))
 
 
@@ -22,19 +22,38 @@ def beat_order() -> list[Column]:
     return [F.coalesce(F.col("beat_number"), F.lit(-1)), F.col("row_id")]
 
 
-def segmented(scripts: DataFrame, key: str, text: str) -> DataFrame:
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def _before(sizes: Column) -> Column:
+    """For each place of an array the sum of all earlier values.
+
+    Sums of blocks as long as the array's root come first, so the work is the
+    length times its root, and nothing has to be shuffled for a running total.
+    """
+    n = F.size(sizes)
+    width = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+    places = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
+    blocks = F.transform(places(F.ceil(n / width).cast("int")), lambda b: _sum(F.slice(sizes, b * width + 1, width)))
+    carried = F.transform(places(F.size(blocks)), lambda b: _sum(F.slice(blocks, F.lit(1), b)))
+    return F.transform(places(n), lambda i: F.get(carried, F.floor(i / width).cast("int")) + _sum(F.slice(sizes, F.floor(i / width).cast("int") * width + 1, i % width)))
+
+
+def segmented(scripts: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     """Beats of scripts: sentences of five characters and more, with spoken length and running offsets.
 
     Sentences passed over leave holes in the numbering. The text of one script
-    lies in one row, so its offsets are summed where it is split.
+    lies in one row, so its offsets are summed where it is split; columns in
+    ``more`` pass through.
     """
     pieces = F.transform(T.sentence_array(F.col(text)), lambda s, i: F.struct(i.alias("idx"), s.alias("narration"), T.speech_centis(F.size(T.words(s))).alias("centis")))
-    kept = F.filter(pieces, lambda p: F.length(p["narration"]) >= 5)
-    beats = scripts.select(key, F.posexplode(kept).alias("n", "b")).select(key, "n", "b.idx", "b.narration", "b.centis")
-    before = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    begin = F.coalesce(F.sum(F.col("centis") + GAP).over(before), F.lit(0))
+    rows = scripts.select(key, *more, F.filter(pieces, lambda p: F.length(p["narration"]) >= 5).alias("kept"))
+    rows = rows.select(key, *more, "kept", _before(F.transform("kept", lambda p: p["centis"] + GAP)).alias("begin"))
+    beats = rows.select(key, *more, F.explode(F.arrays_zip("kept", "begin")).alias("b")).select(key, *more, "b.kept.idx", "b.kept.narration", "b.kept.centis", "b.begin")
+    begin = F.col("begin")
     return beats.select(
-        key, F.format_string("B%03d", F.col("idx") + 1).alias("beat_id"), "narration", (begin / F.lit(100.0)).alias("start_time"), ((begin + F.col("centis")) / F.lit(100.0)).alias("end_time"), (F.col("centis") / F.lit(100.0)).alias("duration")
+        key, *more, F.format_string("B%03d", F.col("idx") + 1).alias("beat_id"), "narration", (begin / F.lit(100.0)).alias("start_time"), ((begin + F.col("centis")) / F.lit(100.0)).alias("end_time"), (F.col("centis") / F.lit(100.0)).alias("duration")
     )
 
 
@@ -55,7 +74,7 @@ def duration_centis(duration: Column) -> Column:
 def offsets(beats: DataFrame) -> DataFrame:
     """``row_id, script_id, start, end, duration`` of all beats laid end to end in their script."""
     rows = beats.select("row_id", "script_id", "beat_number", duration_centis(F.col("duration")).alias("centis"))
-    placed = running_total(rows, ["script_id"], beat_order(), _beat_bucket(), F.col("centis"), "at")
+    placed = running_total(rows, ["script_id"], beat_order(), beat_bucket(), F.col("centis"), "at")
     return placed.select("row_id", "script_id", (F.col("at") / F.lit(100.0)).alias("start"), ((F.col("at") + F.col("centis")) / F.lit(100.0)).alias("end"), (F.col("centis") / F.lit(100.0)).alias("duration"))
 
 
@@ -90,7 +109,7 @@ def render_items(beats: DataFrame, best: DataFrame) -> DataFrame:
     kind = F.when(F.col("media_type") == "video", "video").when(F.col("media_type") == "image", "image").when(F.col("narration") != "", "text_card")
     rows = rows.withColumn("item_type", kind).where("item_type is not null")
     rows = rows.withColumn("centis", F.when((F.col("item_type") == "text_card") & F.col("is_first"), F.least("full", F.lit(500))).otherwise(F.col("full")))
-    placed = running_total(rows, ["script_id"], beat_order(), _beat_bucket(), F.col("centis"), "at")
+    placed = running_total(rows, ["script_id"], beat_order(), beat_bucket(), F.col("centis"), "at")
     n = F.length("narration")
     card = F.when(F.col("is_first"), F.substring("narration", 1, 60)).when(n > 120, F.concat(F.substring("narration", 1, 120), F.lit("..."))).otherwise(F.col("narration"))
     overlay = F.when(F.col("item_type") == "text_card", card).when((F.col("item_type") == "image") & (n > 50), F.substring("narration", 1, 100)).otherwise("")
@@ -117,22 +136,26 @@ def first_mentions(beats: DataFrame, entities: Column) -> DataFrame:
 def transitions(beats: DataFrame, topic: Column) -> DataFrame:
     """``row_id, transition``: ``cut`` while the topic stays, ``dissolve`` where it changes, ``start`` on the first beat."""
     rows = beats.select("row_id", "script_id", "beat_number", F.coalesce(topic, F.lit("")).alias("topic"))
-    seen = lagged(rows, ["script_id"], beat_order(), _beat_bucket(), {"before": F.col("topic")})
+    seen = lagged(rows, ["script_id"], beat_order(), beat_bucket(), {"before": F.col("topic")})
     return seen.select("row_id", F.when(F.col("before").isNull(), "start").when(F.col("before") == F.col("topic"), "cut").otherwise("dissolve").alias("transition"))
 
 
 def long_runs(beats: DataFrame, shot: Column) -> DataFrame:
     """``row_id`` of the beats that are the third or later of one shot type in a row."""
     rows = beats.select("row_id", "script_id", "beat_number", shot.alias("shot"))
-    once = lagged(rows, ["script_id"], beat_order(), _beat_bucket(), {"shot_1": F.col("shot")})
-    twice = lagged(once, ["script_id"], beat_order(), _beat_bucket(), {"shot_2": F.col("shot_1")})
+    once = lagged(rows, ["script_id"], beat_order(), beat_bucket(), {"shot_1": F.col("shot")})
+    twice = lagged(once, ["script_id"], beat_order(), beat_bucket(), {"shot_2": F.col("shot_1")})
     return twice.where((F.col("shot") == F.col("shot_1")) & (F.col("shot") == F.col("shot_2"))).select("row_id", "shot")
 
 
 def overlay_style(beats: DataFrame, languages: DataFrame) -> DataFrame:
-    """``row_id, title, subtitle, font, direction`` of each beat's overlay; the narration stands in for a missing title."""
-    rows = beats.select("row_id", F.substring(F.coalesce("text_overlay_title", "narration_verbatim", F.lit("")), 1, 120).alias("title"), T.language(F.col("narration_verbatim")).alias("code"))
-    return rows.join(F.broadcast(languages), "code").select("row_id", "title", "code", "font", F.when(F.col("rtl"), "rtl").otherwise("ltr").alias("direction"))
+    """``row_id, title, subtitle, code, font, direction`` of each beat's overlay; the narration stands in for a missing title.
+
+    The subtitle is the beat's own (column ``text_overlay_subtitle``, where there is one), at most 80 characters.
+    """
+    own = F.col("text_overlay_subtitle") if "text_overlay_subtitle" in beats.columns else F.lit("")
+    rows = beats.select("row_id", F.substring(F.coalesce("text_overlay_title", "narration_verbatim", F.lit("")), 1, 120).alias("title"), F.substring(F.coalesce(own, F.lit("")), 1, 80).alias("subtitle"), T.language(F.col("narration_verbatim")).alias("code"))
+    return rows.join(F.broadcast(languages), "code").select("row_id", "title", "subtitle", "code", "font", F.when(F.col("rtl"), "rtl").otherwise("ltr").alias("direction"))
 
 
 def drawtext(title: Column, seconds: Column, rtl: Column) -> Column:

@@ -38,7 +38,7 @@ _INSTANTS = r"""WITH raw AS (
       WHEN timezone(tz, timezone(tz, local) - INTERVAL 1 HOUR) = local THEN epoch_us(timezone(tz, local) - INTERVAL 1 HOUR) ELSE epoch_us(timezone(tz, local)) END AS utc_us FROM moments
 ) SELECT rec_id, CAST(utc_us AS BIGINT) AS utc_us FROM resolved WHERE utc_us IS NOT NULL"""
 
-_BEATS = r"""WITH texts AS (
+BEATS = r"""WITH texts AS (
   SELECT raw_id, CASE WHEN json_valid(trim(payload)) THEN trim(payload) ELSE regexp_extract(payload, '[\[{][\s\S]*[\]}]') END AS j FROM clue_payloads WHERE payload IS NOT NULL
 ), once AS (
   SELECT raw_id, CASE WHEN json_type(j) = 'VARCHAR' THEN json_extract_string(j, '$') ELSE j END AS j FROM texts WHERE json_valid(j)
@@ -58,7 +58,7 @@ _BEATS = r"""WITH texts AS (
   SELECT raw_id, beat_pos, node, unnest(l) AS o, generate_subscripts(l, 1) - 1 AS node_pos FROM objects
 )"""
 
-_FLAT = _BEATS + r""", entities AS (
+_FLAT = BEATS + r""", entities AS (
   SELECT raw_id, beat_pos, node, node_pos, json_extract(o, '$.entities') AS e FROM visual
 ), named AS (
   SELECT raw_id, beat_pos, node, node_pos, CASE json_type(e) WHEN 'ARRAY' THEN json_extract(e, '$[*]') WHEN 'NULL' THEN [] ELSE [e] END AS l FROM entities WHERE e IS NOT NULL
@@ -80,11 +80,11 @@ ORACLES = {
 ) SELECT src_table, owner_id, min(lo) AS period_start_ms, max(hi) AS period_end_ms FROM islands GROUP BY src_table, owner_id, island""",
     "p4_found": _INSTANTS,
     "p5_found": _FLAT,
-    "p5_beats": _BEATS + " SELECT raw_id, CAST(beat_pos AS BIGINT) AS beat_pos, CASE json_type(b, '$.beat_id') WHEN 'VARCHAR' THEN json_extract_string(b, '$.beat_id') END AS beat_id FROM beat",
-    "p5_visuals": _BEATS
+    "p5_beats": BEATS + " SELECT raw_id, CAST(beat_pos AS BIGINT) AS beat_pos, CASE json_type(b, '$.beat_id') WHEN 'VARCHAR' THEN json_extract_string(b, '$.beat_id') END AS beat_id FROM beat",
+    "p5_visuals": BEATS
     + """ SELECT raw_id, CAST(beat_pos AS BIGINT) AS beat_pos, node, CAST(node_pos AS BIGINT) AS node_pos, CASE json_type(o, '$.media_type') WHEN 'VARCHAR' THEN json_extract_string(o, '$.media_type') END AS media_type
 FROM visual WHERE json_type(o) <> 'NULL'""",
-    "p5_terms": _BEATS
+    "p5_terms": BEATS
     + """, fields_of AS (
   SELECT raw_id, beat_pos, node, node_pos, kind, json_extract(o, path) AS v FROM visual, (VALUES ('entity', '$.entities'), ('action', '$.actions'), ('context', '$.context')) p(kind, path)
 ), listed AS (

@@ -88,12 +88,9 @@ _CATALOG = """catalog AS (
     CASE coalesce(lower(quality), 'medium') WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS q, least(coalesce(times_used, 0) * 2, 10) AS penalty FROM clip_entries
 )"""
 
-_REQUESTS = """requests AS (
-  SELECT entity_id AS request_id, concat_ws(' ', name, category, 'docking near the bay') AS query, [lower(name), lower(list_last(string_split(name, ' ')))] AS r_entities,
-    CASE WHEN entity_id % 2 = 0 THEN [['docking', 'loading', 'refuelling'][entity_id % 3 + 1]] ELSE [] END AS r_actions,
-    CASE WHEN entity_id % 3 = 0 THEN [['arctic', 'urban', 'desert', 'woodland'][entity_id % 4 + 1]] ELSE [] END AS r_context,
-    ['general', 'exact', 'specific', 'loose'][entity_id % 4 + 1] AS strictness, entity_id % 3 AS least,
-    CASE WHEN entity_id % 5 = 0 THEN ['video', 'image', 'map'][entity_id % 3 + 1] END AS asset_type FROM entity_reference
+_REQUESTS = f"""requests AS (
+  SELECT row_id AS request_id, coalesce(primary_visual.search_query, '') AS query, {_low('primary_visual.entities')} AS r_entities, {_low('primary_visual.actions')} AS r_actions, {_low('primary_visual.context')} AS r_context,
+    primary_visual.strictness AS strictness, CASE primary_visual.media_type WHEN 'video_clip' THEN 'video' ELSE primary_visual.media_type END AS asset_type FROM beats WHERE row_id % 20 = 0
 )"""
 
 
@@ -120,14 +117,23 @@ def _top(scored: str, k: int) -> str:
 
 _HIT = "list_transform(r_entities, lambda a: CASE WHEN list_contains(ents, a) THEN 2 WHEN len(list_filter(ents, lambda h: contains(h, a) OR contains(a, h))) > 0 THEN 1 ELSE 0 END)"
 
-_BEST = f"""{_CATALOG}, held AS (
-  SELECT DISTINCT entry_id, media_type, quality, 30 - penalty AS tenths, unnest({_low('entities')}) AS entity FROM catalog
-), best_entity AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY tenths DESC, entry_id) AS n FROM held) t WHERE n = 1
-), asked AS (
-  SELECT row_id, unnest(e) AS entity, generate_subscripts(e, 1) AS pos FROM (SELECT row_id, {_low('primary_visual.entities')} AS e FROM beats) t
+# every beat with a visual: what it asks for, under the defaults of the search (strictness general, quality medium), once for each different request
+_BEST = f"""{_CATALOG}, asked AS (
+  SELECT row_id, {_low('primary_visual.entities')} AS r_entities, list_sort(list_distinct({_words("lower(coalesce(primary_visual.search_query, ''))")})) AS qw FROM beats WHERE primary_visual IS NOT NULL
+), wanted AS (
+  SELECT r_entities, qw, row_number() OVER () AS request_id FROM (SELECT DISTINCT r_entities, qw FROM asked) t
+), offered AS (
+  SELECT entry_id, media_type, quality, penalty, {_low('entities')} AS ents, list_distinct({_words("lower(coalesce(description, ''))")}) AS dw, list_distinct({_words("lower(coalesce(topic, ''))")}) AS tw,
+    list_distinct(flatten(list_transform(list_concat({_low('entities')}, {_low('actions')}), lambda v: {_words('v')}))) AS gw FROM catalog WHERE q >= 1
+), pairs AS (
+  SELECT request_id, r_entities, qw, o.*, list_filter({_HIT}, lambda x: x > 0)[1] AS hit FROM wanted CROSS JOIN offered o
+), rated AS (
+  SELECT request_id, entry_id, media_type, quality, 3 * len(list_intersect(qw, dw)) + 5 * len(list_intersect(qw, tw)) + 10 * len(list_intersect(qw, gw)) + CASE WHEN len(r_entities) = 0 THEN 0 WHEN hit = 2 THEN 30 ELSE 10 END - penalty AS tenths
+  FROM pairs WHERE len(r_entities) = 0 OR hit IS NOT NULL
+), top_entries AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY tenths DESC, entry_id) AS n FROM rated) t WHERE n = 1
 ), best AS (
-  SELECT * FROM (SELECT a.row_id, b.entry_id, b.media_type, b.quality, b.tenths / 10.0 AS score, row_number() OVER (PARTITION BY a.row_id ORDER BY a.pos) AS k FROM asked a JOIN best_entity b USING (entity)) t WHERE k = 1
+  SELECT a.row_id, f.entry_id, f.media_type, f.quality, f.tenths / 10.0 AS score FROM asked a JOIN wanted w ON a.r_entities = w.r_entities AND a.qw = w.qw JOIN top_entries f USING (request_id)
 )"""
 
 _STATUS = "CASE WHEN lower(trim(coalesce(status, 'queued'))) IN ('queued', 'running', 'done', 'error', 'blocked', 'skipped') THEN lower(trim(coalesce(status, 'queued'))) ELSE 'unknown' END"
@@ -190,11 +196,11 @@ ORACLES = {
     "entity_index": f"WITH {_CATALOG}, h AS (SELECT DISTINCT entry_id, lower(e) AS entity FROM (SELECT entry_id, unnest(entities) AS e FROM catalog) t) SELECT entity, count(*) AS n_entries, min(entry_id) AS first_entry, max(entry_id) AS last_entry FROM h WHERE entity IS NOT NULL GROUP BY entity",
     "action_index": f"WITH {_CATALOG}, h AS (SELECT DISTINCT entry_id, lower(e) AS action FROM (SELECT entry_id, unnest(actions) AS e FROM catalog) t) SELECT action, count(*) AS n_entries, min(entry_id) AS first_entry, max(entry_id) AS last_entry FROM h WHERE action IS NOT NULL GROUP BY action",
     "upsert_latest": "SELECT asset_id, rec_id, source_type, topic FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY rec_id DESC) AS n FROM scraped_assets WHERE asset_id IS NOT NULL) t WHERE n = 1",
-    "search_text": f"WITH {_CATALOG}, {_REQUESTS}, {_SCORED} " + _top("SELECT request_id, entry_id, word_tenths - penalty AS tenths FROM worded WHERE q >= least", 20),
-    "search_gated": f"WITH {_CATALOG}, {_REQUESTS}, {_SCORED}, gated AS (SELECT *, list_filter({_HIT}, lambda x: x > 0)[1] AS hit FROM worded WHERE q >= least AND (asset_type IS NULL OR asset_type = media_type)) "
+    "search_text": f"WITH {_CATALOG}, {_REQUESTS}, {_SCORED} " + _top("SELECT request_id, entry_id, word_tenths - penalty AS tenths FROM worded WHERE q >= 1", 20),
+    "search_gated": f"WITH {_CATALOG}, {_REQUESTS}, {_SCORED}, gated AS (SELECT *, list_filter({_HIT}, lambda x: x > 0)[1] AS hit FROM worded WHERE q >= 1) "
     + _top(
-        f"""SELECT request_id, entry_id, word_tenths + CASE hit WHEN 2 THEN 30 ELSE 10 END + CASE WHEN len(r_actions) > 0 THEN 15 ELSE 0 END + CASE WHEN len(r_context) > 0 THEN 9 ELSE 0 END - penalty AS tenths FROM gated
-  WHERE hit IS NOT NULL AND (hit = 2 OR strictness NOT IN ('exact', 'specific')) AND (len(r_actions) = 0 OR {_meets('r_actions', 'acts')}) AND (len(r_context) = 0 OR {_meets('r_context', 'envs')})""",
+        f"""SELECT request_id, entry_id, word_tenths + CASE WHEN len(r_entities) = 0 THEN 0 WHEN hit = 2 THEN 30 ELSE 10 END + CASE WHEN len(r_actions) > 0 THEN 15 ELSE 0 END + CASE WHEN len(r_context) > 0 THEN 9 ELSE 0 END - penalty AS tenths FROM gated
+  WHERE (len(r_entities) = 0 OR hit = 2 OR (hit = 1 AND coalesce(strictness, 'general') NOT IN ('exact', 'specific'))) AND (len(r_actions) = 0 OR {_meets('r_actions', 'acts')}) AND (len(r_context) = 0 OR {_meets('r_context', 'envs')})""",
         20,
     ),
     "search_additive": f"WITH {_CATALOG}, {_REQUESTS}, {_SCORED} "
@@ -214,7 +220,7 @@ ORACLES = {
     + "], lambda x: x IS NOT NULL), ',') || '}' AS json FROM jobs",
     "append_job": f"""WITH f AS (SELECT DISTINCT script_id, title || ' (again)' AS title FROM jobs WHERE {_STATUS} = 'error'), n AS (SELECT script_id, title, row_number() OVER (ORDER BY script_id, title) AS i FROM f)
 SELECT job_id, script_id, title FROM jobs UNION ALL SELECT printf('J%03d', i + (SELECT count(*) FROM jobs)), script_id, title FROM n""",
-    "stem_join": f"WITH {_STEMS} SELECT script, audio, array_to_string(list_transform(string_split(replace(stem, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title FROM scripts JOIN sounds USING (stem) WHERE stem <> ''",
+    "stem_join": f"WITH {_STEMS} SELECT script, audio, array_to_string(list_transform(regexp_extract_all(replace(stem, '_', ' '), '\\p{{L}}+|\\P{{L}}+'), lambda w: upper(w[1]) || lower(w[2:])), '') AS title FROM scripts JOIN sounds USING (stem) WHERE stem <> ''",
     "stem_anti": f"WITH {_STEMS} SELECT script FROM scripts s WHERE stem <> '' AND NOT EXISTS (SELECT 1 FROM sounds o WHERE o.stem = s.stem)",
     "queue_stream": f"SELECT state, count(*) AS n_jobs FROM (SELECT {_STATUS} AS state FROM jobs) t WHERE state NOT IN ('done', 'blocked', 'skipped') GROUP BY state",
     "event_windows": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start_s, event_type, count(*) AS n_events FROM events GROUP BY ALL",
@@ -235,7 +241,7 @@ SELECT rec_id, safe || CASE WHEN ending <> '' THEN ending WHEN media_type IN ('v
     "transition_by_topic": f"SELECT row_id, CASE WHEN before IS NULL THEN 'start' WHEN before = topic THEN 'cut' ELSE 'dissolve' END AS transition FROM (SELECT row_id, coalesce(visual_intent, '') AS topic, lag(coalesce(visual_intent, '')) OVER ({_ORDER}) AS before FROM beats) t",
     "shot_runs": f"SELECT row_id, shot FROM (SELECT row_id, primary_visual.shot_type AS shot, lag(primary_visual.shot_type, 1) OVER ({_ORDER}) AS a, lag(primary_visual.shot_type, 2) OVER ({_ORDER}) AS b FROM beats) t WHERE shot = a AND shot = b",
     "overlay_style": f"""WITH s AS (SELECT row_id, substring(coalesce(text_overlay_title, narration_verbatim, ''), 1, 120) AS title, {_language('narration_verbatim')} AS code FROM beats)
-SELECT row_id, title, code, CASE code WHEN 'hi' THEN 'Noto Sans Devanagari' WHEN 'ar' THEN 'Noto Sans Arabic' WHEN 'ja' THEN 'Noto Sans JP' WHEN 'ko' THEN 'Noto Sans KR' WHEN 'zh' THEN 'Noto Sans SC' ELSE 'Inter' END AS font, CASE code WHEN 'ar' THEN 'rtl' ELSE 'ltr' END AS direction FROM s""",
+SELECT row_id, title, '' AS subtitle, code, CASE code WHEN 'hi' THEN 'Noto Sans Devanagari' WHEN 'ar' THEN 'Noto Sans Arabic' WHEN 'ja' THEN 'Noto Sans JP' WHEN 'ko' THEN 'Noto Sans KR' WHEN 'zh' THEN 'Noto Sans SC' ELSE 'Inter' END AS font, CASE code WHEN 'ar' THEN 'rtl' ELSE 'ltr' END AS direction FROM s""",
     "drawtext": f"""WITH t AS (SELECT item_id, replace(replace(replace(text_overlay, '''', '\\'''), ':', '\\:'), '%', '\\%') AS safe, {_language('text_overlay')} AS code FROM timeline_items WHERE text_overlay <> '' AND item_id IS NOT NULL)
 SELECT item_id, 'drawtext=text=''' || safe || ''':fontsize=52:fontcolor=white:box=1:boxcolor=black@0.7:boxborderw=10:' || CASE WHEN code IN {_RTL} THEN 'x=w-text_w-50:y=h-160' ELSE 'x=(w-text_w)/2:y=h-140' END || ':enable=''between(t,0,5)''' AS filter FROM t""",
 }

@@ -5,12 +5,13 @@ Every reader has an explicit schema; a missing file gives an empty table.
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from beatloom.session import exists
+
+
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
@@ -29,9 +30,8 @@ JOB = _struct(
 def library(spark: SparkSession, path: str) -> DataFrame:
     """Entries of library documents (``entries`` by id); the path of a hit is ``file_path`` or ``file``."""
     schema = T.StructType([T.StructField("entries", T.MapType(T.StringType(), ENTRY))])
-    if not Path(path).exists():
-        return spark.createDataFrame([], ENTRY)
-    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("entries").alias("key", "e"))
+    found = spark.read.schema(schema).json(path, multiLine=True) if exists(spark, path) else spark.createDataFrame([], schema)
+    rows = found.select(F.explode("entries").alias("key", "e"))
     entry = rows.select("key", "e.*").withColumn("id", F.coalesce("id", "key")).drop("key")
     return entry.withColumns({"file_path": F.coalesce("file_path", "file"), "quality": F.coalesce("quality", F.lit("medium"))})
 
@@ -40,9 +40,8 @@ def queue(spark: SparkSession, path: str) -> DataFrame:
     """Jobs of queue documents with their defaults, and the queue's own fields."""
     header = [T.StructField(n, T.StringType()) for n in ("queue_id", "created_at", "niche", "format", "style")]
     schema = T.StructType([*header, T.StructField("jobs", T.ArrayType(JOB))])
-    if not Path(path).exists():
-        return spark.createDataFrame([], JOB)
-    rows = spark.read.schema(schema).json(path, multiLine=True).select("queue_id", F.posexplode("jobs").alias("position", "j"))
+    found = spark.read.schema(schema).json(path, multiLine=True) if exists(spark, path) else spark.createDataFrame([], schema)
+    rows = found.select("queue_id", F.posexplode("jobs").alias("position", "j"))
     return rows.select("queue_id", "position", "j.*").withColumns({"status": F.coalesce("status", F.lit("queued")), "progress": F.coalesce("progress", F.lit(0.0)), "format_variant": F.coalesce("format_variant", F.lit("F1"))})
 
 
@@ -53,9 +52,28 @@ def scripts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """``path, length`` of the files of a folder; contents are not read."""
+    """``path, length`` of the files of a folder in the order of their paths; contents are not read."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return rows.select("path", "length")
+    return rows.select("path", "length").orderBy("path")
+
+
+def from_folders(spark: SparkSession, scripts_folder: str, audio_folder: str, niche: str) -> DataFrame:
+    """Jobs of the scripts with audio of the same stem: ``script, audio, title, niche, status``."""
+    from beatloom.operators.jobs import paired
+
+    pairs = paired(listing(spark, scripts_folder, "*.txt"), listing(spark, audio_folder, "*.mp3"))
+    return pairs.withColumns({"niche": F.lit(niche), "status": F.lit("queued")})
+
+
+def save_queue(jobs: DataFrame, header: dict[str, str], path: str) -> None:
+    """Writes jobs as one document with the queue's own fields and the number of jobs by status; null fields are left out.
+
+    A queue is one document, as its readers expect, and as such read and written by one task.
+    """
+    of = lambda s: F.count(F.when(F.col("status") == s, 1))
+    fields = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in jobs.columns])))
+    document = jobs.agg(F.count(F.lit(1)).alias("total_jobs"), of("done").alias("completed"), of("error").alias("failed"), fields.alias("jobs"))
+    document.select(*[F.lit(v).alias(k) for k, v in header.items()], "*").coalesce(1).write.mode("overwrite").json(path)
 
 
 def pack(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +82,8 @@ def pack(spark: SparkSession, path: str) -> DataFrame:
     try:
         import yaml
 
-        content = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+        text = spark.read.text(path, wholetext=True).first()["value"] if exists(spark, path) else ""
+        content = yaml.safe_load(text) or {}
         for category, value in content.items():
             if isinstance(value, dict):
                 rows += [(category, str(k), str(x)) for k, v in value.items() for x in (v if isinstance(v, list) else [v])]
