@@ -90,7 +90,7 @@ def encodings(text: Column) -> dict[str, Column]:
 def texts(df: DataFrame, table: str, key: str, source: str, text: str) -> DataFrame:
     """Rows ``src_table, row_key, source, body`` with the text's class of ending."""
     rows = df.select(F.lit(table).alias("src_table"), F.col(f"`{key}`").cast("bigint").alias("row_key"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("stored"))
-    rows = rows.withColumn("body", F.regexp_replace("stored", r"[\s\x{A0}]+$", "")).where("body <> ''")
+    rows = rows.where(F.col("stored").rlike(r"[^\s\x{A0}]")).withColumn("body", F.regexp_replace("stored", r"[\s\x{A0}]+$", ""))
     bare = F.regexp_replace("body", _ELLIPSIS, "")
     ellipsis = F.col("body").rlike(_ELLIPSIS)
     rows = rows.withColumns({"ellipsis": ellipsis, "whole": ~ellipsis & F.col("body").rlike(_WHOLE), "core": F.when(ellipsis, bare).otherwise(F.col("body"))})
@@ -100,19 +100,22 @@ def texts(df: DataFrame, table: str, key: str, source: str, text: str) -> DataFr
     rows = rows.withColumn("shape", F.when(F.col("whole"), "whole").when(listed, "list").when(title, "title").otherwise("sentence"))
     pieces = F.when(F.col("shape") == "list", F.split("core", r",\s+")).when(F.col("shape") == "title", F.split("core", _SEPARATORS))
     rows = rows.withColumns({"items": pieces, "words": F.filter(F.split("core", _BETWEEN), lambda w: w != "")})
-    general = lambda w: F.when(w.rlike(r"\p{Lu}|\d"), "*").otherwise(w)  # noqa: E731 - names and numbers fill the slots of an opening
-    spaced = F.concat_ws(" ", F.lower(F.get("words", F.lit(0))), F.concat_ws(" ", F.transform(F.slice("words", 2, OPENING - 1), general)))
+    # names and numbers fill the slots of openings and pairs: a word with a capital or a digit becomes ``*``
+    slot = lambda w: (F.lower(w) != w) | (F.translate(w, "0123456789", "") != w)
+    rows = rows.withColumn("general", F.transform("words", lambda w: F.when(slot(w), "*").otherwise(w)))
+    spaced = F.concat_ws(" ", F.lower(F.get("words", F.lit(0))), F.concat_ws(" ", F.slice("general", 2, OPENING - 1)))
+    open_ended = lambda c: F.when(~F.col("whole"), c)
     return rows.withColumns(
         {
             "last_item": F.element_at("items", -1),
             "last_word": F.get("words", F.size("words") - 1),
-            "pairs": F.zip_with(F.transform("words", general), F.transform(F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), general), lambda a, b: F.concat_ws(" ", a, b)),
+            "pairs": F.zip_with("general", F.slice("general", 2, F.greatest(F.size("general") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)),
             "opening": F.when(F.col("shape").isin("whole", "sentence"), F.when(F.col("core").rlike(_UNSPACED), F.substring("core", 1, 2)).when(F.size("words") >= OPENING, spaced)),
-            "follows": F.col("core").rlike(rf"{_STOP}{_CLOSE}\s+\S|[。！？]{_CLOSE}\S"),
-            "breaks": F.col("stored").rlike(r"[\s\x{A0}]$") | F.col("core").rlike(r"[,，、]$"),
-            "n_words": F.size(F.split("core", r"\s+")),
+            "follows": open_ended(F.col("core").rlike(rf"{_STOP}{_CLOSE}\s+\S|[。！？]{_CLOSE}\S")),
+            "breaks": open_ended(F.col("stored").rlike(r"[\s\x{A0}]$") | F.col("core").rlike(r"[,，、]$")),
+            "n_words": open_ended(F.size(F.split("core", r"\s+"))),
         }
-    )
+    ).drop("general", "body")
 
 
 def limits(rows: DataFrame) -> DataFrame:
