@@ -128,9 +128,8 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, characters and tokens for each label of language."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    counts = p8_ids(spark, sf_dir).select("doc_id", F.size("ids").cast("bigint").alias("n_ids"))
-    return documents.join(counts, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"), F.sum("n_ids").alias("n_ids"))
+    counts = tokenizer.encoded(table(spark, sf_dir, "documents"), "doc_id", "text", keep=("lang", "n_chars")).select("lang", "n_chars", F.size("ids").cast("bigint").alias("n_ids"))
+    return counts.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"), F.sum("n_ids").alias("n_ids"))
 
 
 # ------------------------------------------------------------ 9: contamination
@@ -148,7 +147,7 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that repeat a whole prompt with other names and numbers."""
+    """Documents that repeat a prompt or a part of it with other names and numbers."""
     return contamination.reparameterised(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 

@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 #: Where the public vocabulary lies, and the pattern that cuts texts into words before merging.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose tokens a worker keeps; a bound of memory only.
-KEPT_WORDS = 500_000
+#: Words whose tokens, and pairs of tokens whose verdict, a worker keeps; bounds of memory only.
+KEPT_WORDS, KEPT_PAIRS = 500_000, 1_000_000
 
 
 def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -100,6 +100,8 @@ class Encoder:
 
     def _compatible(self, pairs: np.ndarray) -> np.ndarray:
         """Whether each pair of tokens encodes its own bytes."""
+        if len(self.pairs) > KEPT_PAIRS:
+            self.pairs, self.fits = np.empty(0, np.int64), np.empty(0, bool)
         wanted, back = np.unique(pairs, return_inverse=True)
         at = np.searchsorted(self.pairs, wanted)
         met = np.zeros(len(wanted), bool) if not len(self.pairs) else self.pairs[np.minimum(at, len(self.pairs) - 1)] == wanted
@@ -145,10 +147,11 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoded(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """``key, ids`` of each row, ``ids`` being the tokens of its whole text."""
+def encoded(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, pattern: str = PATTERN, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key, ids`` of each row, ``ids`` being the tokens of its whole text; columns in ``keep`` pass through in the same batches."""
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     name = uuid.uuid4().hex
+    names = ["_text", "_key", *(f"_keep{i}" for i in range(len(keep))), "_ids"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _ENCODERS:
@@ -158,10 +161,11 @@ def encoded(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, pa
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
-                flat, ends = encoder.encode_batch(part.column(1).to_pylist())
+                flat, ends = encoder.encode_batch(part.column(0).to_pylist())
                 ids = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["key", "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], ids], names=names[1:])
 
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(encode, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip((text, key, *keep), names)])
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    out = rows.mapInArrow(encode, f"{kinds}, _ids array<int>")
+    return out.select(*[F.col(n).alias(c) for c, n in zip((key, *keep, "ids"), names[1:])])

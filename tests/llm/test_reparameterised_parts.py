@@ -29,3 +29,29 @@ def test_sibling_decides(spark):
 
 def test_a_leak_is_no_copy_of_its_siblings(spark):
     assert not found(spark, ITEMS[1][1])
+
+
+def test_recall_of_planted_copies(spark, sf_dir):
+    """Every held-out prompt with its numbers and names replaced one by one; documents of the tables beside them."""
+    import re
+
+    rows = [(r["item_id"], r["prompt"]) for r in spark.read.parquet(f"{sf_dir}/eval_items.parquet").collect()]
+    items = spark.createDataFrame(rows, "item_id bigint, prompt string")
+    frame = set(C.frame_list(items, "prompt"))
+    planted, n_slots = [], 0
+    for item_id, prompt in rows:
+        slots: dict = {}
+
+        def other(m):
+            w = m.group().lower()
+            if w in frame or w in C.UNITS:
+                return m.group()
+            return slots.setdefault(w, f"{10_000 + len(slots)}" if C._numbered(w) else f"Qqz{chr(97 + len(slots) % 26)}{'x' * (len(slots) // 26)}")
+
+        planted.append((1_000_000 + item_id, re.sub(r"[^\W_]+", other, prompt)))
+        n_slots += len(slots)
+    assert n_slots > len(rows)
+    found = C.reparameterised(spark.createDataFrame(planted, "doc_id bigint, text string"), items).collect()
+    met = {(r["doc_id"] - 1_000_000, r["item_id"]) for r in found}
+    long_enough = [i for i, p in rows if len(C.word_list(p)) >= C.WINDOW]
+    assert sum((i, i) in met for i in long_enough) / len(long_enough) >= 0.9
