@@ -33,6 +33,12 @@ def coverage(catalog: DataFrame) -> DataFrame:
     return held.groupBy("entity").agg(F.count(F.lit(1)).alias("clips"), (F.sum("centis") / F.lit(100.0)).alias("duration"))
 
 
+def postings(catalog: DataFrame, column: str, value: str) -> DataFrame:
+    """Inverted index of an array column as rows ``value, entry_id``, each once."""
+    held = catalog.select(F.explode(F.array_distinct(F.transform(column, F.lower))).alias(value), "entry_id")
+    return held.where(F.col(value).isNotNull())
+
+
 def index(catalog: DataFrame, column: str, value: str) -> DataFrame:
     """Inverted index of an array column: distinct entries for each lower-case value, with the first and last id."""
     held = catalog.select("entry_id", F.explode(F.array_distinct(F.transform(column, F.lower))).alias(value)).where(F.col(value).isNotNull())

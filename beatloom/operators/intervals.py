@@ -5,7 +5,8 @@ duration. An owner may hold a third of all rows, so a session is first built
 within fixed time buckets of an owner; one summary row per bucket then carries
 the reach of all earlier buckets forward. No task ever holds the rows of a
 whole owner: within a bucket there are at most as many distinct periods as the
-bucket has milliseconds, and repeated starts are folded before the shuffle.
+bucket has milliseconds, and repeated starts are folded before the shuffle. The
+sessions are written to the shared folder while a query is built.
 
 Defined cases:
 
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from beatloom.session import written
+
 #: Width of a time bucket. A parameter of the plan only: results do not depend on it.
 BUCKET_MS = 3_600_000
 
@@ -49,7 +52,7 @@ def _sessions(rows: DataFrame, bucket_ms: int) -> DataFrame:
 
 def _linked(rows: DataFrame, bucket_ms: int) -> DataFrame:
     """Sessions with ``reach`` (latest end so far), ``before`` (reach of all earlier ones) and ``next_lo``."""
-    sessions = _sessions(rows, bucket_ms)
+    sessions = written(_sessions(rows, bucket_ms), "sessions")  # read twice below, while the tables are read once
     key = ["src_table", "owner_id", "bucket"]
     by_owner = Window.partitionBy("src_table", "owner_id").orderBy("bucket")
     buckets = (

@@ -53,7 +53,7 @@ def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "clue_payloads").select("raw_id", T.extracted_json(F.col("payload")).alias("x"))
-    return rows.select("raw_id", "x.how", F.length("x.json").cast("bigint").alias("n_chars"))
+    return rows.select("raw_id", "x.how", "x.json")
 
 
 # -------------------------------------------------------------------- catalog
@@ -79,7 +79,13 @@ def action_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.index(_catalog(spark, sf_dir), "actions", "action")
 
 
+def entity_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted index itself, one row for each entity and entry."""
+    return catalog.postings(_catalog(spark, sf_dir), "entities", "entity")
+
+
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last record of each asset; records without an id are no upserts."""
     rows = table(spark, sf_dir, "scraped_assets").select("asset_id", "rec_id", "source_type", "topic").where("asset_id is not null")
     return catalog.latest(rows, "asset_id", "rec_id")
 
@@ -180,7 +186,7 @@ def queue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "jobs").schema
     folder = f"{sf_dir}/jobs.parquet"
     taken = queue.drained(spark, _as_folder(spark, folder), schema, fresh_path(spark, "queue-checkpoint"), fresh_path(spark, "queue-taken"))
-    return taken.groupBy("state").agg(F.count(F.lit(1)).alias("n_jobs"))
+    return taken.select("job_id", "state")
 
 
 def _as_folder(spark: SparkSession, path: str) -> str:
@@ -201,6 +207,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_build_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search queries of each asset's topic; an asset without a topic asks for nothing."""
     rows = table(spark, sf_dir, "scraped_assets").where("topic is not null")
     return rows.select("rec_id", F.array_join(ingest.topic_queries(F.col("topic"), F.filter("entities", lambda e: e.isNotNull())), "|").alias("queries"))
 
@@ -216,7 +223,7 @@ def url_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_union_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both tables as one stream of assets, and of each topic and source the first four."""
+    """Both tables as one stream of assets, and of each topic and source the first four; assets without a topic answer no request."""
     columns = ("rec_id", "topic", "source_type")
     both = table(spark, sf_dir, "clip_entries").select(*columns).unionByName(table(spark, sf_dir, "scraped_assets").select(*columns))
     return ingest.quota(both.where("topic is not null"), ["topic", "source_type"], "rec_id", count=10, n_queries=3)
@@ -234,6 +241,7 @@ def metadata_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asset_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local file names; an asset without an id has none."""
     rows = table(spark, sf_dir, "scraped_assets").where("asset_id is not null")
     return rows.select("rec_id", ingest.asset_name(F.col("asset_id"), catalog.media_type(F.col("media_type")), F.coalesce("download_url", F.lit(""))).alias("file_name"))
 
@@ -255,7 +263,7 @@ def render_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def motion_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "beats").select("row_id", "mood").join(_best(spark, sf_dir).select("row_id", "quality"), "row_id")
-    return rows.groupBy(timeline.motion(F.col("mood"), F.col("quality")).alias("motion")).agg(F.count(F.lit(1)).alias("n_beats"))
+    return rows.select("row_id", timeline.motion(F.col("mood"), F.col("quality")).alias("motion"))
 
 
 def first_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +290,7 @@ def drawtext(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        beats, script_duration, entities_caps, entity_terms, lang_detect, lang_accuracy, topic_analysis, text_clean, json_extract, catalog_counts, coverage_by_entity, entity_index, action_index,
+        beats, script_duration, entities_caps, entity_terms, lang_detect, lang_accuracy, topic_analysis, text_clean, json_extract, catalog_counts, coverage_by_entity, entity_index, entity_postings, action_index,
         upsert_latest, search_text, search_gated, search_additive, best_match_per_beat, gap_requests, coverage_ratio, job_status, job_preflight, variant_round_robin, job_json, append_job, stem_join,
         stem_anti, queue_stream, event_windows, query_build_a, query_build_b, url_first_seen, source_union_quota, library_first, metadata_gate, asset_names, beat_timeline, timeline_segments,
         render_items, motion_assign, first_mention, transition_by_topic, shot_runs, overlay_style, drawtext,

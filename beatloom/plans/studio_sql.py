@@ -80,7 +80,7 @@ _JSON = rf"""WITH x AS (
   SELECT raw_id, payload AS whole, regexp_extract(payload, '```(?:json)?{_B}*\n([\s\S]*?)\n```', 1) AS fenced,
     CASE WHEN contains(payload, '{{') AND contains(payload, '}}') THEN substring(payload, instr(payload, '{{'), length(payload) - instr(reverse(payload), '}}') + 2 - instr(payload, '{{')) END AS inner_part FROM clue_payloads
 ), h AS (SELECT *, CASE WHEN whole IS NULL THEN 'none' WHEN json_valid(whole) THEN 'whole' WHEN json_valid(fenced) THEN 'fenced' WHEN inner_part <> '' AND json_valid(inner_part) THEN 'embedded' ELSE 'none' END AS how FROM x)
-SELECT raw_id, how, CAST(length(CASE how WHEN 'whole' THEN whole WHEN 'fenced' THEN fenced WHEN 'embedded' THEN inner_part END) AS BIGINT) AS n_chars FROM h"""
+SELECT raw_id, how, CASE how WHEN 'whole' THEN whole WHEN 'fenced' THEN fenced WHEN 'embedded' THEN inner_part END AS json FROM h"""
 
 _CATALOG = """catalog AS (
   SELECT rec_id AS entry_id, CASE media_type WHEN 'video_clip' THEN 'video' ELSE media_type END AS media_type, topic, description, coalesce(entities, []) AS entities, coalesce(actions, []) AS actions,
@@ -194,6 +194,7 @@ ORACLES = {
     "catalog_counts": f"WITH {_CATALOG} SELECT count(*) AS total_entries, count(*) FILTER (media_type = 'video') AS videos, count(*) FILTER (media_type = 'image') AS images, count(*) FILTER (media_type = 'map') AS maps, count(*) FILTER (media_type = 'graphic') AS graphics FROM catalog",
     "coverage_by_entity": f"WITH {_CATALOG}, h AS (SELECT unnest(entities) AS entity, CAST(round(coalesce(duration, 0) * 100) AS BIGINT) AS centis FROM catalog) SELECT entity, count(*) AS clips, sum(centis) / 100.0 AS duration FROM h WHERE entity IS NOT NULL GROUP BY entity",
     "entity_index": f"WITH {_CATALOG}, h AS (SELECT DISTINCT entry_id, lower(e) AS entity FROM (SELECT entry_id, unnest(entities) AS e FROM catalog) t) SELECT entity, count(*) AS n_entries, min(entry_id) AS first_entry, max(entry_id) AS last_entry FROM h WHERE entity IS NOT NULL GROUP BY entity",
+    "entity_postings": f"WITH {_CATALOG} SELECT DISTINCT lower(e) AS entity, entry_id FROM (SELECT entry_id, unnest(entities) AS e FROM catalog) t WHERE e IS NOT NULL",
     "action_index": f"WITH {_CATALOG}, h AS (SELECT DISTINCT entry_id, lower(e) AS action FROM (SELECT entry_id, unnest(actions) AS e FROM catalog) t) SELECT action, count(*) AS n_entries, min(entry_id) AS first_entry, max(entry_id) AS last_entry FROM h WHERE action IS NOT NULL GROUP BY action",
     "upsert_latest": "SELECT asset_id, rec_id, source_type, topic FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY rec_id DESC) AS n FROM scraped_assets WHERE asset_id IS NOT NULL) t WHERE n = 1",
     "search_text": f"WITH {_CATALOG}, {_REQUESTS}, {_SCORED} " + _top("SELECT request_id, entry_id, word_tenths - penalty AS tenths FROM worded WHERE q >= 1", 20),
@@ -222,7 +223,7 @@ ORACLES = {
 SELECT job_id, script_id, title FROM jobs UNION ALL SELECT printf('J%03d', i + (SELECT count(*) FROM jobs)), script_id, title FROM n""",
     "stem_join": f"WITH {_STEMS} SELECT script, audio, array_to_string(list_transform(regexp_extract_all(replace(stem, '_', ' '), '\\p{{L}}+|\\P{{L}}+'), lambda w: upper(w[1]) || lower(w[2:])), '') AS title FROM scripts JOIN sounds USING (stem) WHERE stem <> ''",
     "stem_anti": f"WITH {_STEMS} SELECT script FROM scripts s WHERE stem <> '' AND NOT EXISTS (SELECT 1 FROM sounds o WHERE o.stem = s.stem)",
-    "queue_stream": f"SELECT state, count(*) AS n_jobs FROM (SELECT {_STATUS} AS state FROM jobs) t WHERE state NOT IN ('done', 'blocked', 'skipped') GROUP BY state",
+    "queue_stream": f"SELECT job_id, state FROM (SELECT job_id, {_STATUS} AS state FROM jobs) t WHERE state NOT IN ('done', 'blocked', 'skipped')",
     "event_windows": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start_s, event_type, count(*) AS n_events FROM events GROUP BY ALL",
     "query_build_a": "SELECT rec_id, array_to_string(list_concat([topic], list_transform(list_filter(coalesce(entities, []), lambda e: e IS NOT NULL)[1:3], lambda e: topic || ' ' || e), [topic || ' high quality', topic || ' footage'])[1:5], '|') AS queries FROM scraped_assets WHERE topic IS NOT NULL",
     "query_build_b": _QUERIES_B,
@@ -236,7 +237,7 @@ SELECT rec_id, safe || CASE WHEN ending <> '' THEN ending WHEN media_type IN ('v
     "timeline_segments": f"""WITH {_OFFSETS}, {_BEST} SELECT o.row_id, o.script_id, o.begun / 100.0 AS start, (o.begun + o.centis) / 100.0 AS "end", o.centis / 100.0 AS duration, b.mood, coalesce(CASE WHEN m.entry_id IS NOT NULL THEN m.media_type ELSE 'text_card' END, NULL) AS media_type, m.entry_id,
   CASE WHEN m.entry_id IS NOT NULL THEN {_MOTION} END AS motion, CASE WHEN m.entry_id IS NOT NULL THEN 'cut' END AS transition FROM offsets o JOIN (SELECT row_id, coalesce(mood, 'neutral') AS mood FROM beats) b USING (row_id) LEFT JOIN best m ON o.row_id = m.row_id""",
     "render_items": _RENDER,
-    "motion_assign": f"WITH {_BEST} SELECT {_MOTION} AS motion, count(*) AS n_beats FROM beats JOIN (SELECT row_id, quality FROM best) m USING (row_id) GROUP BY 1",
+    "motion_assign": f"WITH {_BEST} SELECT row_id, {_MOTION} AS motion FROM beats JOIN (SELECT row_id, quality FROM best) m USING (row_id)",
     "first_mention": "WITH m AS (SELECT DISTINCT row_id, script_id, coalesce(beat_number, -1) AS beat_number, lower(e) AS entity FROM (SELECT row_id, script_id, beat_number, unnest(primary_visual.entities) AS e FROM beats) t) SELECT script_id, entity, CAST(min(beat_number) AS BIGINT) AS first_beat, count(*) AS n_beats FROM m WHERE entity <> '' GROUP BY script_id, entity",
     "transition_by_topic": f"SELECT row_id, CASE WHEN before IS NULL THEN 'start' WHEN before = topic THEN 'cut' ELSE 'dissolve' END AS transition FROM (SELECT row_id, coalesce(visual_intent, '') AS topic, lag(coalesce(visual_intent, '')) OVER ({_ORDER}) AS before FROM beats) t",
     "shot_runs": f"SELECT row_id, shot FROM (SELECT row_id, primary_visual.shot_type AS shot, lag(primary_visual.shot_type, 1) OVER ({_ORDER}) AS a, lag(primary_visual.shot_type, 2) OVER ({_ORDER}) AS b FROM beats) t WHERE shot = a AND shot = b",

@@ -89,7 +89,7 @@ def pack(spark: SparkSession, path: str) -> DataFrame:
                 rows += [(category, str(k), str(x)) for k, v in value.items() for x in (v if isinstance(v, list) else [v])]
             else:
                 rows += [(category, None, str(x)) for x in (value if isinstance(value, list) else [value])]
-    except (OSError, ImportError, ValueError):
+    except Exception:  # noqa: BLE001 - whatever makes a pack unreadable, PyYAML missing included
         rows = []
     return spark.createDataFrame(rows, "category string, name string, value string")
 
