@@ -32,12 +32,16 @@ def _before(sizes: Column) -> Column:
     Sums of blocks as long as the array's root come first, so the work is the
     length times its root, and nothing has to be shuffled for a running total.
     """
-    n = F.size(sizes)
-    width = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
     places = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
-    blocks = F.transform(places(F.ceil(n / width).cast("int")), lambda b: _sum(F.slice(sizes, b * width + 1, width)))
-    carried = F.transform(places(F.size(blocks)), lambda b: _sum(F.slice(blocks, F.lit(1), b)))
-    return F.transform(places(n), lambda i: F.get(carried, F.floor(i / width).cast("int")) + _sum(F.slice(sizes, F.floor(i / width).cast("int") * width + 1, i % width)))
+
+    def of(values: Column, width: Column) -> Column:
+        blocks = F.transform(places(F.ceil(F.size(values) / width).cast("int")), lambda b: _sum(F.slice(values, b * width + 1, width)))
+        carried = T.let(blocks, lambda sums: F.transform(places(F.size(sums)), lambda b: _sum(F.slice(sums, F.lit(1), b))))
+        block = lambda i: F.floor(i / width).cast("int")
+        return T.let(carried, lambda c: F.transform(places(F.size(values)), lambda i: F.get(c, block(i)) + _sum(F.slice(values, block(i) * width + 1, i % width))))
+
+    # every array is bound once, so that no lambda computes it again for each place
+    return T.let(sizes, lambda values: T.let(F.greatest(F.ceil(F.sqrt(F.size(values))).cast("int"), F.lit(1)), lambda width: of(values, width)))
 
 
 def segmented(scripts: DataFrame, key: str, text: str, *more: str) -> DataFrame:

@@ -9,8 +9,8 @@ from beatloom.functions import text as T
 from beatloom.operators import catalog, ingest, nested, production, render, responses, search, timeline
 from beatloom.plans.production_sql import ORACLES  # noqa: F401 - part of the module's registry
 from beatloom.plans.studio import _best, _catalog, _checked, _requests
-from beatloom.session import table
-from beatloom.sources import dimensions
+from beatloom.session import fresh_path, table
+from beatloom.sources import dimensions, files
 
 
 #: A year in a text, between characters that are no ASCII letters or digits.
@@ -195,10 +195,20 @@ def labelled_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rec_id", "catalog_id", F.array_join("entities", "|").alias("entities"), "quality", "shot_type", F.length("description").cast("bigint").alias("n_chars"), c("description"))
 
 
+def library_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library written as documents of at most a thousand entries, while the query is built, and read back with its defaults."""
+    fields = ("media_type", "file_path", "topic", "entities", "quality", "times_used")
+    entry = F.struct(F.col("rec_id").cast("string").alias("id"), *[F.col(c).alias("type" if c == "media_type" else c) for c in fields])
+    rows = table(spark, sf_dir, "clip_entries").groupBy(F.floor(F.col("rec_id") / 1000)).agg(F.map_from_entries(F.collect_list(F.struct(F.col("rec_id").cast("string"), entry))).alias("entries"))
+    path = fresh_path(spark, "library")
+    rows.select("entries").write.json(path)
+    return files.library(spark, path).select("id", "type", "file_path", "topic", F.array_join("entities", "|").alias("entities"), "quality", "times_used")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         clue_beats, beats_multilingual, entity_families, retrieval, library_then_scrape, identity_gates, query_templates, mood_looks, fallback_chain, visual_types, narration_files, script_estimates,
-        language_contexts, asset_needs, times_used_after, job_pipeline, preview_items, render_filters, video_answers, photo_answers, archive_answers, thumbnail_sizes, labelled_answers,
+        language_contexts, asset_needs, times_used_after, job_pipeline, preview_items, render_filters, video_answers, photo_answers, archive_answers, thumbnail_sizes, labelled_answers, library_file,
     )
 }

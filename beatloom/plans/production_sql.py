@@ -131,4 +131,5 @@ FROM (SELECT rec_id, regexp_extract(coalesce(download_url, ''), '/vi/.*/([a-z]+)
     "labelled_answers": r"""SELECT rec_id, CASE source_type WHEN 'pexels' THEN 'PEX' WHEN 'wikimedia' THEN 'WIK' WHEN 'youtube' THEN 'YT' WHEN 'local' THEN 'LOC' ELSE 'UNK' END || '_' || substring(md5(file_path), 1, 6) AS catalog_id,
   array_to_string(list_filter(list_transform(list_filter(coalesce(actions, []), lambda x: x <> ''), lambda x: trim(x)), lambda x: x <> ''), '|') AS entities, coalesce(nullif(trim(lower(quality)), ''), 'medium') AS quality, 'medium' AS shot_type,
   length(d) AS n_chars, d AS description FROM (SELECT *, trim(regexp_replace(coalesce(description, ''), '[\r\n]+', ' ', 'g')) AS d FROM clip_entries WHERE file_path IS NOT NULL) t""",
+    "library_file": "SELECT CAST(rec_id AS VARCHAR) AS id, media_type AS type, file_path, topic, array_to_string(list_filter(entities, lambda e: e IS NOT NULL), '|') AS entities, coalesce(quality, 'medium') AS quality, times_used FROM clip_entries",
 }
