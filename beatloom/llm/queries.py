@@ -213,25 +213,25 @@ _SHARED = r"""WITH windows AS (
 _ITEM_WINDOWS = r"""WITH words AS (
   SELECT 'd' AS src, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(prompt), '[\p{L}\p{N}]+') FROM eval_items WHERE prompt IS NOT NULL
 ), places AS (
-  SELECT src, id, t, unnest(range(1, len(t) - 8)) AS at FROM words WHERE len(t) >= 10
+  SELECT src, id, t, unnest(range(1, len(t) - 8)) AS pos FROM words WHERE len(t) >= 10
 ), windows AS (
-  SELECT src, id, at, array_to_string(t[at:at + 9], ' ') AS w FROM places
+  SELECT src, id, pos, array_to_string(t[pos:pos + 9], ' ') AS w FROM places
 ), met AS (
-  SELECT d.id AS doc_id, i.id AS item_id, count(DISTINCT i.at) AS n FROM windows d JOIN windows i USING (w) WHERE d.src = 'd' AND i.src = 'i' GROUP BY ALL
+  SELECT d.id AS doc_id, i.id AS item_id, count(DISTINCT i.pos) AS n FROM windows d JOIN windows i USING (w) WHERE d.src = 'd' AND i.src = 'i' GROUP BY ALL
 ) SELECT item_id, count(*) AS n_docs, max(n) AS most_windows FROM met GROUP BY item_id"""
 
 _COVERED = """WITH places AS (
-  SELECT doc_id, text, unnest(range(0, length(text) - 319)) AS at FROM documents WHERE length(text) >= 320
+  SELECT doc_id, text, unnest(range(0, length(text) - 319)) AS pos FROM documents WHERE length(text) >= 320
 ), windows AS (
-  SELECT doc_id, at, md5(substring(text, CAST(at AS BIGINT) + 1, 320)) AS w FROM places
+  SELECT doc_id, pos, md5(substring(text, CAST(pos AS BIGINT) + 1, 320)) AS w FROM places
 ), held AS (
   SELECT w FROM windows GROUP BY w HAVING count(DISTINCT doc_id) > 1
 ), starts AS (
-  SELECT doc_id, at, lag(at) OVER (PARTITION BY doc_id ORDER BY at) AS before FROM windows JOIN held USING (w)
+  SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM windows JOIN held USING (w)
 ), runs AS (
-  SELECT doc_id, at, sum(CASE WHEN before IS NULL OR at - before > 320 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY at ROWS UNBOUNDED PRECEDING) AS run FROM starts
+  SELECT doc_id, pos, sum(CASE WHEN before IS NULL OR pos - before > 320 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM starts
 ), spans AS (
-  SELECT doc_id, CAST(min(at) AS BIGINT) AS span_start, CAST(max(at) + 320 AS BIGINT) AS span_end FROM runs GROUP BY doc_id, run
+  SELECT doc_id, CAST(min(pos) AS BIGINT) AS span_start, CAST(max(pos) + 320 AS BIGINT) AS span_end FROM runs GROUP BY doc_id, run
 )"""
 
 ORACLES = {
@@ -255,9 +255,9 @@ FROM documents LEFT JOIN (SELECT doc_id, sum(span_end - span_start) AS n FROM sp
     "p10_classes": """WITH members AS (
   SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS n_copies FROM documents WHERE length(text) >= 320
 ), places AS (
-  SELECT class_id, text, unnest(range(0, length(text) - 319)) AS at FROM members WHERE doc_id = class_id
+  SELECT class_id, text, unnest(range(0, length(text) - 319)) AS pos FROM members WHERE doc_id = class_id
 ), windows AS (
-  SELECT DISTINCT class_id, md5(substring(text, CAST(at AS BIGINT) + 1, 320)) AS w FROM places
+  SELECT DISTINCT class_id, md5(substring(text, CAST(pos AS BIGINT) + 1, 320)) AS w FROM places
 ), links AS (
   SELECT a.class_id, count(DISTINCT b.class_id) AS n_links FROM windows a JOIN windows b USING (w) WHERE a.class_id <> b.class_id GROUP BY a.class_id
 ) SELECT doc_id, class_id, n_copies, coalesce(n_links, 0) AS n_links FROM members LEFT JOIN links USING (class_id)""",
