@@ -27,7 +27,7 @@ def test_folders(spark, tmp_path):
 
 def test_save(spark, tmp_path):
     files.save_json(spark.createDataFrame([("a", None)], "k string, v string"), str(tmp_path / "out"))
-    row = json.loads(next((tmp_path / "out").glob("part-*.json")).read_text())
+    row = json.loads("".join(f.read_text() for f in (tmp_path / "out").glob("part-*.json")))  # empty partitions may leave empty files
     assert row["k"] == "a" and "v" not in row and "saved_at" in row
 
 
