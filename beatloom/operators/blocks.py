@@ -32,6 +32,14 @@ def _words(text: Column) -> Column:
     return F.coalesce(T.words(F.lower(text)), F.array().cast("array<string>"))
 
 
+def word_columns() -> list[Column]:
+    """The different words of an entry's description, topic and tags."""
+    from beatloom.operators import search
+
+    tags = F.flatten(F.transform(F.concat(search._lowered(F.col("entities")), search._lowered(F.col("actions"))), T.words))
+    return [F.array_distinct(_words(F.col("description"))).alias("description"), F.array_distinct(_words(F.col("topic"))).alias("topic"), F.array_distinct(tags).alias("tags")]
+
+
 def scored(requests: DataFrame, catalog: DataFrame, rule: str, k: int) -> DataFrame:
     """``request_id, entry_id, tenths``: of each request the ``k`` best of every block under ``text``, ``gated`` or ``additive``."""
     from beatloom.operators import search
@@ -55,10 +63,9 @@ def scored(requests: DataFrame, catalog: DataFrame, rule: str, k: int) -> DataFr
         rows = rows.unionByName(hit.select("chunk", F.lit(field).alias("field"), F.col("req").alias("term"), "whole", "part", *nothing))
     everywhere = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     left = rows.select("*", everywhere.alias("block")).withColumn("_g", F.col("chunk") * n_blocks + F.col("block")).drop("chunk", "block")
-    tags = F.flatten(F.transform(F.concat(low(F.col("entities")), low(F.col("actions"))), T.words))
     entries = catalog.select(
         F.pmod(F.xxhash64("entry_id"), F.lit(n_blocks)).cast("int").alias("block"), F.col("entry_id").cast("bigint").alias("entry_id"), "media_type", search.quality_rank(F.col("quality")).alias("q"), search._penalty(F.col("times_used")).alias("penalty"),
-        *[F.array_distinct(low(F.col(c))).alias(c) for c in ("entities", "actions", "environment")], F.array_distinct(_words(F.col("description"))).alias("description"), F.array_distinct(_words(F.col("topic"))).alias("topic"), F.array_distinct(tags).alias("tags"),
+        *[F.array_distinct(low(F.col(c))).alias(c) for c in ("entities", "actions", "environment")], *word_columns(),
     )
     right = entries.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))).withColumn("_g", F.col("_chunk") * n_blocks + F.col("block")).drop("_chunk", "block")
     out = left.groupBy("_g").cogroup(right.groupBy("_g")).applyInArrow(_searcher(rule, k), f"request_id {kind}, entry_id bigint, tenths bigint")

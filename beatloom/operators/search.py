@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beatloom.functions import text as T
-from beatloom.operators import blocks
+from beatloom.operators import best, blocks
 
 QUALITY = {"low": 0, "medium": 1, "high": 2}
 #: Points of a gate in tenths: an exact and a partial entity, an action, a context.
@@ -85,19 +85,16 @@ def additive_search(requests: DataFrame, catalog: DataFrame, k: int = 5) -> Data
 def best_per_beat(beats: DataFrame, catalog: DataFrame, key: str, visual: Column) -> DataFrame:
     """``key, entry_id, media_type, quality, score`` of the beats that the catalog serves.
 
-    Each distinct signature of a beat's visual (entities in their order, words
-    of the search query) is searched once with the gates and points of
-    :func:`gated_search` under its defaults: strictness general, quality
-    medium, no other filter. A visual without entities is searched by its query
-    alone; a beat without visual is not searched.
+    The gates and points are those of :func:`gated_search` under its defaults:
+    strictness general, quality medium, no other filter. A visual without
+    entities is searched by its query alone; a beat without visual is not
+    searched. Each beat looks through the lists of its entities' entries (see
+    :mod:`beatloom.operators.best`).
     """
-    wanted = beats.where(visual.isNotNull()).select(key, _lowered(visual["entities"]).alias("entities"), F.array_join(F.array_sort(F.array_distinct(T.words(F.lower(F.coalesce(visual["search_query"], F.lit("")))))), " ").alias("query"))
-    wanted = wanted.withColumn("request_id", F.to_json(F.struct("entities", "query")))
-    none = F.array().cast("array<string>")
-    requests = wanted.select(
-        "request_id", "query", "entities", none.alias("actions"), none.alias("context"), F.lit("general").alias("strictness"), F.lit("medium").alias("min_quality"), F.lit(None).cast("string").alias("asset_type")
-    ).dropDuplicates(["request_id"])
-    found = blocks.scored(requests, catalog, "gated", 1)
-    best = found.groupBy("request_id").agg(F.min(F.struct((-F.col("tenths")).alias("order"), "entry_id")).alias("b")).select("request_id", "b.entry_id", (-F.col("b.order") / F.lit(10.0)).alias("score"))
-    best = best.join(catalog.select("entry_id", "media_type", "quality"), "entry_id")
-    return wanted.select(key, "request_id").join(best, "request_id").select(key, "entry_id", "media_type", "quality", "score")
+    words = F.array_join(F.array_sort(F.array_distinct(T.words(F.lower(F.coalesce(visual["search_query"], F.lit("")))))), " ")
+    wanted = beats.where(visual.isNotNull()).select(key, F.monotonically_increasing_id().alias("_n"), _lowered(visual["entities"]).alias("entities"), words.alias("query"))
+    allowed = catalog.where((quality_rank(F.col("quality")) >= QUALITY["medium"]) & F.col("entry_id").isNotNull()).select(
+        "entry_id", "media_type", "quality", _penalty(F.col("times_used")).alias("penalty"), F.array_distinct(_lowered(F.col("entities"))).alias("held"), *blocks.word_columns()
+    )
+    found = best.best_entries(wanted, allowed, [key, "_n"])
+    return found.select(key, "entry_id", "media_type", "quality", (F.col("tenths") / F.lit(10.0)).alias("score"))

@@ -1,9 +1,10 @@
 """The search per beat: partial hits, quality gate and text score, against the gated search of each beat."""
 
 import random
+import uuid
 
 import pytest
-from beatloom.operators import blocks, search
+from beatloom.operators import best, blocks, search
 from pyspark.sql import functions as F
 from test_operators import py_search
 
@@ -46,3 +47,52 @@ def test_every_beat_against_the_model(spark, monkeypatch):
         request = {"request_id": i, "query": query or "", "entities": entities, "actions": [], "strictness": "general", "min_quality": "medium"}
         want |= {x for x in py_search(request, [dict(zip(columns, e)) for e in held])[:1]}
     assert {(r["row_id"], r["entry_id"], r["score"]) for r in got.collect()} == want
+
+
+def model_best(beats, held):
+    """A request without entities is the model's request for one that all entries hold, without its points."""
+    columns = [c.split()[0] for c in ENTRY.split(", ")]
+    entries = [dict(zip(columns, e)) for e in held]
+    everywhere = [e | {"entities": [*e["entities"], "*"]} for e in entries]
+    want = set()
+    for i, (entities, query) in beats:
+        request = {"request_id": i, "query": query or "", "entities": entities or ["*"], "actions": [], "strictness": "general", "min_quality": "medium"}
+        for r, e, score in py_search(request, entries if entities else everywhere)[:1]:
+            want.add((r, e, score if entities else round(score - search.EXACT / 10, 1)))
+    return want
+
+
+def test_cut_lists_against_the_model(spark, monkeypatch):
+    """Lists in several blocks and chunks, values with lists of their own, frequent and rare words, requests without entities."""
+    for name, value in (("BLOCK", 20), ("CHUNK", 30), ("GROUP", 25), ("WIDE", 3), ("FREQUENT", 10)):
+        monkeypatch.setattr(best, name, value)
+    rng = random.Random(5)
+    names = ["Boxer", "Boxer CRV", "Lake", "lake view", "F-35", "Patrol boat", "boat", "Mk4", "a", "o"]
+    held = [(i, rng.sample(names, rng.randrange(4)), rng.sample(["docking", "live docking"], rng.randrange(3)), [], rng.choice([None, "boat lake"]), rng.choice([None, "a boat on the lake"]), rng.choice([None, "low", "high"]), rng.randrange(9), "video") for i in range(200)]
+    beats = [(i, (rng.sample(names, rng.randrange(4)) + rng.choice([[], ["none", "Boxer"]]), rng.choice([None, "boat Lake", "docking mk4 boat", "view"]))) for i in range(250)]
+    got = search.best_per_beat(spark.createDataFrame(beats, BEAT), spark.createDataFrame(held, ENTRY), "row_id", F.col("primary_visual"))
+    found, want = {(r["row_id"], r["entry_id"], r["score"]) for r in got.collect()}, model_best(beats, held)
+    assert (found - want, want - found) == (set(), set())
+
+
+def test_no_entry_is_searched_for_every_chunk_of_beats(spark, monkeypatch, tmp_path):
+    """An entry is met by the requests of its own entities only, however many others there are."""
+    for module in (blocks, best):
+        monkeypatch.setattr(module, "CHUNK", 10)
+        monkeypatch.setattr(module, "BLOCK", 10)
+
+        def counting(*args, inner=module._searcher):
+            search_group = inner(*args)
+
+            def run(left, right):
+                (tmp_path / uuid.uuid4().hex).write_text(str(right.num_rows))
+                return search_group(left, right)
+
+            return run
+
+        monkeypatch.setattr(module, "_searcher", counting)
+    held = [entry(i, [f"name {i:03d}"]) for i in range(60)]
+    beats = [(i, ([f"name {i % 60:03d}"], f"word{i}")) for i in range(240)]
+    got = search.best_per_beat(spark.createDataFrame(beats, BEAT), spark.createDataFrame(held, ENTRY), "row_id", F.col("primary_visual"))
+    assert {(r["row_id"], r["entry_id"]) for r in got.collect()} == {(i, i % 60) for i in range(240)}
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 60
