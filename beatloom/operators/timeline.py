@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from beatloom.functions import text as T
 from beatloom.operators.ordered import lagged, running_total
+from beatloom.session import written
 
 #: Beats of one bucket of a script's running computations.
 BEATS_A_BUCKET = 1000
@@ -105,15 +106,19 @@ def render_items(beats: DataFrame, best: DataFrame) -> DataFrame:
     """Items for rendering: clips, stills with a caption, text cards; nothing for a beat with neither asset nor words.
 
     The first beat's card is cut to 60 characters and five seconds, later ones to 120 with an ellipsis.
+    Items are placed without their words, which join them at the end.
     """
-    rows = beats.select("row_id", "script_id", "beat_number", F.coalesce("narration_verbatim", F.lit("")).alias("narration"), duration_centis(F.col("duration")).alias("full"))
+    words = F.coalesce("narration_verbatim", F.lit(""))
+    rows = beats.select("row_id", "script_id", "beat_number", (words != "").alias("spoken"), duration_centis(F.col("duration")).alias("full"))
     rows = rows.join(best.select("row_id", "entry_id", "media_type", "quality"), "row_id", "left")
     first = beats.groupBy("script_id").agg(F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(beat_order())])).alias("f")).select("script_id", F.col("f.o1").alias("first_row"))
     rows = rows.join(first, "script_id").withColumn("is_first", F.col("row_id") == F.col("first_row"))
-    kind = F.when(F.col("media_type") == "video", "video").when(F.col("media_type") == "image", "image").when(F.col("narration") != "", "text_card")
+    kind = F.when(F.col("media_type") == "video", "video").when(F.col("media_type") == "image", "image").when(F.col("spoken"), "text_card")
     rows = rows.withColumn("item_type", kind).where("item_type is not null")
     rows = rows.withColumn("centis", F.when((F.col("item_type") == "text_card") & F.col("is_first"), F.least("full", F.lit(500))).otherwise(F.col("full")))
-    placed = running_total(rows, ["script_id"], beat_order(), beat_bucket(), F.col("centis"), "at")
+    thin = written(rows.select("row_id", "script_id", "beat_number", "item_type", "is_first", "quality", "centis"), "render-items")
+    placed = running_total(thin, ["script_id"], beat_order(), beat_bucket(), F.col("centis"), "at")
+    placed = placed.join(beats.select("row_id", "script_id", words.alias("narration")), ["row_id", "script_id"])
     n = F.length("narration")
     card = F.when(F.col("is_first"), F.substring("narration", 1, 60)).when(n > 120, F.concat(F.substring("narration", 1, 120), F.lit("..."))).otherwise(F.col("narration"))
     overlay = F.when(F.col("item_type") == "text_card", card).when((F.col("item_type") == "image") & (n > 50), F.substring("narration", 1, 100)).otherwise("")

@@ -1,10 +1,11 @@
 """The search per beat: partial hits, quality gate and text score, against the gated search of each beat."""
 
 import random
+import re
 import uuid
 
 import pytest
-from beatloom.operators import best, blocks, search
+from beatloom.operators import best, blocks, search, timeline
 from pyspark.sql import functions as F
 from test_operators import py_search
 
@@ -96,3 +97,19 @@ def test_no_entry_is_searched_for_every_chunk_of_beats(spark, monkeypatch, tmp_p
     got = search.best_per_beat(spark.createDataFrame(beats, BEAT), spark.createDataFrame(held, ENTRY), "row_id", F.col("primary_visual"))
     assert {(r["row_id"], r["entry_id"]) for r in got.collect()} == {(i, i % 60) for i in range(240)}
     assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 60
+
+
+def test_words_of_items_move_once(spark):
+    """Only the last join of the items for rendering shuffles the narration."""
+    beats = spark.createDataFrame([(1, "s", 1, "Some words.", 2.0)], "row_id int, script_id string, beat_number int, narration_verbatim string, duration double")
+    found = spark.createDataFrame([(1, 5, "image", "high")], "row_id int, entry_id int, media_type string, quality string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        items = timeline.render_items(beats, found)
+        plan = spark._jvm.PythonSQLUtils.explainString(items._jdf.queryExecution(), "formatted")
+        assert [(r["item_type"], r["start_time"], r["text_overlay"]) for r in items.collect()] == [("image", 0.0, "")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)
+    assert sum("narration" in x for x in moved) == 1
