@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from beatloom.functions import text as T
 from beatloom.operators import timeline
 from beatloom.operators.ordered import running_total
+from beatloom.session import written
 
 #: Texts for a speaker have so many characters at least.
 SPOKEN_LEAST = 10
@@ -44,7 +45,7 @@ def retrieval(beats: DataFrame, best: DataFrame, visual: Column) -> DataFrame:
 
 def with_library_first(beats: DataFrame, search, scraped) -> DataFrame:
     """``row_id, rec_id, origin``: what ``search`` (a function of beats) finds, and for the beats without a hit what ``scraped`` finds."""
-    hits = search(beats).select("row_id", F.col("entry_id").alias("rec_id"), F.lit("library").alias("origin"))
+    hits = written(search(beats).select("row_id", F.col("entry_id").alias("rec_id")), "library-hits").withColumn("origin", F.lit("library"))  # both parts below read it
     rest = beats.join(hits.select("row_id").distinct(), "row_id", "left_anti")
     return hits.unionByName(scraped(rest).select("row_id", "rec_id", F.lit("scraped").alias("origin")))
 

@@ -5,7 +5,7 @@ import re
 import uuid
 
 import pytest
-from beatloom.operators import best, blocks, search, timeline
+from beatloom.operators import best, blocks, production, search, timeline
 from pyspark.sql import functions as F
 from test_operators import py_search
 
@@ -113,3 +113,18 @@ def test_words_of_items_move_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)
     assert sum("narration" in x for x in moved) == 1
+
+
+def test_library_is_searched_once(spark, tmp_path):
+    """The hits and the beats without a hit come from one search."""
+
+    def counting(batches):
+        for batch in batches:
+            (tmp_path / uuid.uuid4().hex).write_text(str(batch.num_rows))
+            yield batch
+
+    beats = spark.createDataFrame([(1,), (2,)], "row_id int")
+    found = spark.createDataFrame([(1, 5)], "row_id int, entry_id int").mapInArrow(counting, "row_id int, entry_id int")
+    got = production.with_library_first(beats, lambda b: found, lambda rest: rest.withColumn("rec_id", rest["row_id"] + 10))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 5, "library"), (2, 12, "scraped")]
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 1
